@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from crowdnet.llm import chat, quality
+from crowdnet.llm import chat, mixing, quality, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op3_quality": quality.op3_quality,
+    "op6_mix": mixing.op6_mix,
+    "op7_warc": warc.op7_warc,
 }
 
 ORACLES = {
     "op1_chat": chat.ORACLE,
     "op3_quality": quality.ORACLE,
+    "op6_mix": mixing.ORACLE,
+    "op7_warc": warc.ORACLE,
 }
