@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from crowdnet.llm import chat, mixing, quality, warc
+from crowdnet.llm import chat, languages, mixing, quality, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op2_langid": languages.op2_langid,
     "op3_quality": quality.op3_quality,
     "op6_mix": mixing.op6_mix,
     "op7_warc": warc.op7_warc,
