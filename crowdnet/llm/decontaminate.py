@@ -228,6 +228,20 @@ def common_seeds(docs: DataFrame, text: str, index: Index) -> np.ndarray:
     return df > limit
 
 
+def searcher(shared, least_score: float, least_words: int):
+    """A pandas UDF from texts to their matches."""
+
+    @F.pandas_udf(T._parse_datatype_string(MATCH))
+    def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own, common = shared.value
+        cache = WordIds(own.vocabulary)
+        names = ("item_id", "score", "words", "start", "stop")
+        for part in parts:
+            yield pd.Series([[dict(zip(names, m, strict=True)) for m in find(own, common, *cache.of(t), least_score, least_words)] for t in part], dtype=object)
+
+    return search
+
+
 def contaminations(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "matches", least_score: float = LEAST_SCORE, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the matches of every text: item, score, words in common, first word and the word after the last."""
     spark = docs.sparkSession
@@ -235,17 +249,7 @@ def contaminations(docs: DataFrame, bench: DataFrame, text: str = "text", item_i
     found: Column = F.array().cast(MATCH)
     for index in blocks(bench, item_id, item_text):
         shared = spark.sparkContext.broadcast((index, common_seeds(docs, text, index)))
-
-        def search(parts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            own, common = shared.value
-            cache = WordIds(own.vocabulary)
-            names = ("item_id", "score", "words", "start", "stop")
-            for part in parts:
-                yield pd.Series([[dict(zip(names, m, strict=True)) for m in find(own, common, *cache.of(t), least_score, least_words)] for t in part], dtype=object)
-
-        search.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        udf = F.pandas_udf(search, T._parse_datatype_string(MATCH))
-        found = F.concat(found, udf(F.col(text)))
+        found = F.concat(found, searcher(shared, least_score, least_words)(F.col(text)))
     return docs.withColumn(out, found)
 
 
