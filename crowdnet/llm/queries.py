@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crowdnet.llm import chat, decontaminate, languages, mixing, neardup, passages, quality, resample, warc
+from crowdnet.llm import chat, decontaminate, languages, mixing, neardup, passages, quality, resample, sharding, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op8_passages": passages.op8_passages,
     "op9_resample": resample.op9_resample,
+    "op10_shard": sharding.op10_shard,
 }
 
 ORACLES = {

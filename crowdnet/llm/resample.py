@@ -24,7 +24,8 @@ from crowdnet.llm.words import U64, WordHashes, ascii_words, grams, small_batche
 from crowdnet.scratch import Scratch
 
 BUCKETS = 1 << 18
-SMOOTH = 1.0
+#: Added to every bucket of both models, which are scaled to the target's size first.
+SMOOTH = 20.0
 #: The target model is fitted on at most about this many examples.
 EXAMPLES = 50_000
 SHARE = 0.75
@@ -68,8 +69,10 @@ def fit(docs: DataFrame, examples: DataFrame, doc_id: str = "doc_id", text: str
     raw[at], target[at] = got.column("raw").to_numpy(), got.column("target").to_numpy()
     if not target.sum():
         return np.zeros(BUCKETS)
-    p_target = (target + SMOOTH * (raw + 1) / (raw.sum() + BUCKETS) * BUCKETS) / (target.sum() + SMOOTH * BUCKETS)
-    ratio = np.log(p_target) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    raw *= target.sum() / raw.sum()  # both models get as much smoothing
+    p_target, p_raw = (x + SMOOTH for x in (target, raw))
+    p_target, p_raw = p_target / p_target.sum(), p_raw / p_raw.sum()
+    ratio = np.log(p_target) - np.log(p_raw)
     return ratio - (p_target * ratio).sum() if center else ratio
 
 
