@@ -2,5 +2,384 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crowdnet.functions import filters
+from crowdnet.operators import association, components, consensus, networks, query, ranking
+from crowdnet.plans import datasets as D
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+NET = "SELECT i, j, direction, value, rank, round(score, 9) AS score FROM net"
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten best edges of the consensus of four trade networks, with the nations' names."""
+    best = query.top(D.fused(spark, sf), 10)
+    names = D.table(spark, sf, "nation")
+    a, b = (names.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(f"name_{k}")) for k in "ij")
+    return rounded(best.join(a, "i").join(b, "j").select("name_i", "name_j", "direction", "rank", "score"), score=9)
+
+
+QUERIES["consensus_top10"] = flagship
+ORACLES["consensus_top10"] = f"WITH {D.fused_sql()} SELECT x.n_name AS name_i, y.n_name AS name_j, direction, rank, round(score, 9) AS score FROM (SELECT * FROM net ORDER BY score DESC, i, j LIMIT 10) t JOIN nation x ON t.i = x.n_nationkey JOIN nation y ON t.j = y.n_nationkey"
+
+
+@register("import_el_midrank", f"WITH {D.IMPORT_SQL} SELECT alg, i, j, direction, score, rank FROM imp")
+def _(spark, sf):
+    return D.imported(spark, sf)
+
+
+@register("import_ascending_undirected", f"""WITH {D.FLOW_SQL}, c AS (SELECT greatest(a, b) AS i, least(a, b) AS j, min(w) AS score FROM flow WHERE a <> b AND alg = 'avg_disc' GROUP BY 1, 2)
+SELECT i, j, 0 AS direction, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rank FROM c""")
+def _(spark, sf):
+    return ranking.import_edges(D.flow(spark, sf).filter("alg = 'avg_disc'"), undirected=True)
+
+
+_CENTERED = "ff AS (SELECT a, b, cnt - (SELECT median(cnt) FROM f0) AS w FROM f0)"
+
+
+@register("import_drop_zero_abs", f"""WITH {D.FLOW_SQL}, {_CENTERED},
+c AS (SELECT greatest(a, b) AS i, least(a, b) AS j, max(w) FILTER (a > b) AS w1, max(w) FILTER (a < b) AS w2 FROM ff WHERE a <> b AND w <> 0 GROUP BY 1, 2),
+d AS (SELECT i, j, CASE WHEN w1 = w2 THEN 0 WHEN w2 IS NULL OR w1 > w2 THEN 1 ELSE 2 END AS direction, CASE WHEN w2 IS NULL OR w1 >= w2 THEN w1 ELSE w2 END AS score FROM c)
+SELECT *, rank() OVER (ORDER BY abs(score) DESC) + (count(*) OVER (PARTITION BY abs(score)) - 1) / 2.0 AS rank FROM d""")
+def _(spark, sf):
+    f = D.flow(spark, sf).filter("alg = 'cnt'")
+    middle = f.agg(F.median("w").alias("m"))
+    return ranking.import_edges(f.crossJoin(F.broadcast(middle)).select("a", "b", (F.col("w") - F.col("m")).alias("w")), absolute=True, reverse=True, drop_zero=True)
+
+
+for _method in consensus.AGGREGATORS:
+    QUERIES[f"agg_{_method}"] = lambda spark, sf, m=_method: rounded(D.fused(spark, sf, m), score=9)
+    ORACLES[f"agg_{_method}"] = f"WITH {D.fused_sql(_method)} {NET}"
+
+
+@register("agg_best_two", f"WITH {D.IMPORT_SQL} SELECT i, j, list(alg ORDER BY rank, alg)[1] AS t1, list(alg ORDER BY rank, alg)[2] AS t2 FROM imp GROUP BY i, j")
+def _(spark, sf):
+    return consensus.best_two(D.imported(spark, sf))
+
+
+@register("agg_direction_vote", f"WITH {D.IMPORT_SQL} SELECT i, j, {D.VOTE_SQL} AS direction FROM imp GROUP BY i, j")
+def _(spark, sf):
+    return D.imported(spark, sf).groupBy("i", "j").agg(consensus.direction_vote().alias("direction"))
+
+
+def _net_sql(select: str, method: str = "irp") -> str:
+    return f"WITH {D.fused_sql(method)}, {D.EDGES_SQL.format(name='net')} {select}"
+
+
+@register("view_threshold", _net_sql("SELECT i, j, round(score, 9) AS score, rank FROM net WHERE score > 0.75"))
+def _(spark, sf):
+    return rounded(query.threshold(D.fused(spark, sf), 0.75).select("i", "j", "score", "rank"), score=9)
+
+
+@register("view_threshold_rank", _net_sql("SELECT i, j, round(score, 9) AS score, rank FROM net WHERE rank < 40"))
+def _(spark, sf):
+    return rounded(query.threshold(D.fused(spark, sf), 40, by_rank=True).select("i", "j", "score", "rank"), score=9)
+
+
+_WIDE = "w AS (SELECT i, j, " + ", ".join(f"max(score) FILTER (alg = '{a}') AS s_{a}, max(rank) FILTER (alg = '{a}') AS r_{a}" for a in D.ALGS) + " FROM imp GROUP BY i, j)"
+_FILTER = "(s1 > 4 & r1 < 200) | r3 - r2 > 20 & s0 * 2 < 0.11"
+
+
+@register("view_filter_expr", f"WITH {D.IMPORT_SQL}, {_WIDE} SELECT * FROM w WHERE (s_cnt > 4 AND r_cnt < 200) OR (r_revenue - r_qty > 20 AND s_avg_disc * 2 < 0.11)")
+def _(spark, sf):
+    w = query.wide(D.imported(spark, sf), D.ALGS)
+    return w.filter(filters.parse(_FILTER, [F.col(f"s_{a}") for a in D.ALGS], [F.col(f"r_{a}") for a in D.ALGS]))
+
+
+@register("view_nodelist", _net_sql("SELECT i, j, round(score, 9) AS score, rank FROM net WHERE i IN (3, 7) OR j IN (3, 7)"))
+def _(spark, sf):
+    return rounded(query.incident(D.fused(spark, sf).select("i", "j", "score", "rank"), spark.createDataFrame([(3,), (7,)], "node int")), score=9)
+
+
+@register("view_pair", _net_sql("SELECT i, j, round(score, 9) AS score, rank FROM net WHERE i = 7 AND j = 3"))
+def _(spark, sf):
+    return rounded(D.fused(spark, sf).filter("i = greatest(3, 7) AND j = least(3, 7)").select("i", "j", "score", "rank"), score=9)
+
+
+@register("view_limit", _net_sql("SELECT i, j, round(score, 9) AS score, rank FROM net WHERE score > 0.5 ORDER BY i, j LIMIT 20"))
+def _(spark, sf):
+    return rounded(query.threshold(D.fused(spark, sf), 0.5).orderBy("i", "j").limit(20).select("i", "j", "score", "rank"), score=9)
+
+
+@register("top_edges", _net_sql("SELECT i, j, round(score, 9) AS score, rank FROM net ORDER BY score DESC, i, j LIMIT 15"))
+def _(spark, sf):
+    return rounded(query.top(D.fused(spark, sf), 15).select("i", "j", "score", "rank"), score=9)
+
+
+@register("top_supplier_pairs", f"WITH {D.COSHIP_SQL} SELECT i, j, score FROM co ORDER BY score DESC, i, j LIMIT 25")
+def _(spark, sf):
+    return query.top(D.shipped_together(spark, sf), 25)
+
+
+@register("neighbours_topn", _net_sql("SELECT node, other, round(score, 9) AS score, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS place FROM net_s) WHERE place <= 3"))
+def _(spark, sf):
+    return rounded(query.neighbours(D.fused(spark, sf).select("i", "j", "score", "rank"), 3), score=9)
+
+
+@register("neighbours_genes", _net_sql("SELECT node, other, round(score, 9) AS score, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY rank, other) AS place FROM net_s WHERE node IN (1, 2, 20)) WHERE place <= 4"))
+def _(spark, sf):
+    return rounded(query.neighbours(D.fused(spark, sf).select("i", "j", "score", "rank"), 4, by_rank=True, nodes=spark.createDataFrame([(1,), (2,), (20,)], "node int")), score=9)
+
+
+@register("neighbours_unique", _net_sql("SELECT DISTINCT greatest(node, other) AS i, least(node, other) AS j, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS place FROM net_s) WHERE place <= 3"))
+def _(spark, sf):
+    return rounded(query.neighbours(D.fused(spark, sf).select("i", "j", "score", "rank"), 3, unique=True), score=9)
+
+
+@register("adjacency_long", _net_sql("SELECT node AS i, other AS j, round(score, 9) AS score FROM net_s"))
+def _(spark, sf):
+    return rounded(query.adjacency(D.fused(spark, sf)), score=9)
+
+
+@register("adjacency_lower_tri", _net_sql("SELECT x.n_nationkey AS i, list(coalesce(round(score, 6), 0.0) ORDER BY y.n_nationkey) AS values FROM nation x JOIN nation y ON y.n_nationkey < x.n_nationkey LEFT JOIN net ON net.i = x.n_nationkey AND net.j = y.n_nationkey GROUP BY 1"))
+def _(spark, sf):
+    net = rounded(D.fused(spark, sf).select("i", "j", "score"), score=6)
+    return query.lower_triangle(net, D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node")), fill=0.0)
+
+
+@register("describe_scores", f"WITH {D.IMPORT_SQL} SELECT alg, count(score) AS n, min(score) AS lo, max(score) AS hi, round(avg(score), 6) AS mean, " + ", ".join(f"round(quantile_cont(score, {p}), 6) AS q{int(100 * p):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM imp GROUP BY alg")
+def _(spark, sf):
+    return rounded(query.describe(D.imported(spark, sf)), mean=6, q05=6, q25=6, q50=6, q75=6, q95=6)
+
+
+@register("describe_histogram", f"WITH {D.IMPORT_SQL}, s AS (SELECT alg, min(score) AS lo, max(score) AS hi FROM imp GROUP BY alg) SELECT alg, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((score - lo) / (hi - lo) * 25), 24) END AS INTEGER) AS bin, count(*) AS n FROM imp JOIN s USING (alg) GROUP BY 1, 2")
+def _(spark, sf):
+    return query.histogram(D.imported(spark, sf))
+
+
+_SHIP = D.COSHIP_SQL + ", co_s AS (SELECT i AS node, j AS other, score FROM co UNION ALL SELECT j, i, score FROM co), st AS (SELECT node, sum(score) AS strength, count(*) AS degree FROM co_s GROUP BY node)"
+
+
+@register("node_strength", f"WITH {_SHIP} SELECT * FROM st")
+def _(spark, sf):
+    return networks.strength(D.shipped_together(spark, sf))
+
+
+_BACKBONE = _SHIP + """, t AS (SELECT 2 * sum(score) AS t FROM co),
+b0 AS (SELECT co.i, co.j, co.score AS w, x.strength AS a, y.strength AS b, t.t FROM co JOIN st x ON x.node = co.i JOIN st y ON y.node = co.j, t),
+b1 AS (SELECT *, a * b / t / t AS p, t / (a * b) AS k, a * b * (t - a) * (t - b) / (t * t * (t - 1)) / (t * t) AS v FROM b0),
+b2 AS (SELECT *, p * p / v * (1 - p) - p + w AS alpha, t - w + p / v * (1 - p * p) - (1 - p) AS beta FROM b1),
+b3 AS (SELECT *, alpha / (alpha + beta) AS e, 2 * (k + w * (1 / (a * b) - t * (a + b) / (a * b * a * b))) / ((k * w + 1) * (k * w + 1)) AS slope FROM b2),
+bb AS (SELECT i, j, w AS score, (k * w - 1) / (k * w + 1) AS nc_score, sqrt(e * (1 - e) * t * slope * slope) AS nc_sdev FROM b3)"""
+
+
+@register("backbone_scores", f"WITH {_BACKBONE} SELECT i, j, score, round(nc_score, 6) AS nc_score, round(nc_sdev, 6) AS nc_sdev FROM bb")
+def _(spark, sf):
+    return rounded(networks.backbone(D.shipped_together(spark, sf)), nc_score=6, nc_sdev=6)
+
+
+@register("backbone_filtered", f"WITH {_BACKBONE} SELECT i, j, score FROM bb WHERE nc_score - nc_sdev * 1.28 > 0")
+def _(spark, sf):
+    return networks.backbone(D.shipped_together(spark, sf), 1.28).select("i", "j", "score")
+
+
+def _two(spark, sf):
+    keep = lambda a: D.one(spark, sf, a).filter("rank <= 120").select("i", "j", "score", "rank")
+    return keep("revenue"), keep("avg_disc")
+
+
+_TWO = D.IMPORT_SQL + ", x AS (SELECT i, j, score, rank FROM imp WHERE alg = 'revenue' AND rank <= 120), y AS (SELECT i, j, score, rank FROM imp WHERE alg = 'avg_disc' AND rank <= 120)"
+_COMPARE = "z0 AS (SELECT i, j, CASE WHEN y.rank IS NULL THEN 1 WHEN x.rank IS NULL THEN 2 ELSE 0 END AS flag, coalesce(x.rank, 0.0) AS rank_a, coalesce(y.rank, 0.0) AS rank_b FROM x FULL JOIN y USING (i, j)), z AS (SELECT *, rank_a + rank_b AS rank FROM z0)"
+
+
+@register("compare_edges", f"WITH {_TWO}, {_COMPARE} SELECT *, round(1 - (rank - min(rank) OVER ()) / (max(rank) OVER () - min(rank) OVER ()), 9) AS score FROM z")
+def _(spark, sf):
+    return rounded(networks.compare(*_two(spark, sf)), score=9)
+
+
+@register("compare_nodes", f"WITH {_TWO}, xn AS (SELECT DISTINCT unnest([i, j]) AS node FROM x), yn AS (SELECT DISTINCT unnest([i, j]) AS node FROM y) SELECT n_nationkey AS node, CASE WHEN xn.node IS NOT NULL AND yn.node IS NOT NULL THEN 0 WHEN xn.node IS NOT NULL THEN 1 WHEN yn.node IS NOT NULL THEN 2 ELSE 3 END AS flag FROM nation LEFT JOIN xn ON xn.node = n_nationkey LEFT JOIN yn ON yn.node = n_nationkey")
+def _(spark, sf):
+    return networks.compare_nodes(*_two(spark, sf), D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node")))
+
+
+@register("compare_orthologs", f"WITH {_TWO.replace('y AS (', 'y0 AS (')}, y AS (SELECT greatest(24 - i, 24 - j) AS i, least(24 - i, 24 - j) AS j, score, rank FROM y0), {_COMPARE} SELECT *, round(1 - (rank - min(rank) OVER ()) / (max(rank) OVER () - min(rank) OVER ()), 9) AS score FROM z")
+def _(spark, sf):
+    x, y = _two(spark, sf)
+    dictionary = D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("old"), (24 - F.col("n_nationkey")).alias("new"))
+    return rounded(networks.compare(x, networks.translate(y, dictionary)), score=9)
+
+
+_GOLD = "gold AS (SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey > b.n_nationkey)"
+
+
+def _gold(spark, sf):
+    n = D.table(spark, sf, "nation")
+    return n.select(F.col("n_nationkey").alias("i"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("j"), "n_regionkey"), "n_regionkey").filter("i > j").select("i", "j")
+
+
+@register("gold_pairs", f"WITH {_GOLD} SELECT * FROM gold")
+def _(spark, sf):
+    return _gold(spark, sf)
+
+
+@register("gold_negatives", "SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b ON a.n_regionkey <> b.n_regionkey AND a.n_nationkey > b.n_nationkey")
+def _(spark, sf):
+    n = D.table(spark, sf, "nation")
+    pairs = n.select(F.col("n_nationkey").alias("i")).join(n.select(F.col("n_nationkey").alias("j")), F.col("i") > F.col("j"))
+    return pairs.join(_gold(spark, sf), ["i", "j"], "left_anti")
+
+
+_ROC = f"{D.fused_sql()}, {_GOLD}, e AS (SELECT net.*, CASE WHEN gold.i IS NULL THEN 0 ELSE 1 END AS t FROM net LEFT JOIN gold USING (i, j)), r AS (SELECT row_number() OVER o AS place, CAST(sum(t) OVER o AS BIGINT) AS tp, CAST(sum(1 - t) OVER o AS BIGINT) AS fp, sum(t) OVER () AS pos, sum(1 - t) OVER () AS neg FROM e WINDOW o AS (ORDER BY abs(score) DESC, i, j ROWS UNBOUNDED PRECEDING)), roc AS (SELECT place, tp, fp, tp / pos AS tpr, fp / neg AS fpr, tp / place AS ppv FROM r)"
+
+
+def _curve(spark, sf):
+    return networks.roc(networks.judged(D.fused(spark, sf).select("i", "j", "score"), _gold(spark, sf)))
+
+
+@register("roc_curve", f"WITH {_ROC} SELECT place, tp, fp, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr, round(ppv, 9) AS ppv FROM roc")
+def _(spark, sf):
+    return rounded(_curve(spark, sf), tpr=9, fpr=9, ppv=9)
+
+
+@register("roc_auc", f"WITH {_ROC}, l AS (SELECT *, lag(tpr) OVER (ORDER BY place) AS t0, lag(fpr) OVER (ORDER BY place) AS f0, lag(ppv) OVER (ORDER BY place) AS p0 FROM roc) SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 9) AS auc, round(sum((tpr - t0) * (ppv + p0) / 2), 9) AS aupr FROM l")
+def _(spark, sf):
+    return rounded(networks.areas(_curve(spark, sf)), auc=9, aupr=9)
+
+
+@register("roc_recall_cut", f"WITH {_ROC} SELECT min(place) AS place FROM roc WHERE tpr >= 0.5")
+def _(spark, sf):
+    return networks.recall_cut(_curve(spark, sf), 0.5)
+
+
+@register("tau_per_node", f"""WITH {D.IMPORT_SQL}, xs AS (SELECT i AS node, j AS other, score FROM imp WHERE alg = 'revenue' UNION ALL SELECT j, i, score FROM imp WHERE alg = 'revenue'),
+ys AS (SELECT i AS node, j AS other, score FROM imp WHERE alg = 'qty' UNION ALL SELECT j, i, score FROM imp WHERE alg = 'qty'),
+d AS (SELECT node, other, coalesce(xs.score, 0) AS x, coalesce(ys.score, 0) AS y FROM xs FULL JOIN ys USING (node, other)),
+p AS (SELECT a.node, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM d a JOIN d b ON a.node = b.node AND a.other < b.other),
+s AS (SELECT node, sum(sx * sy) AS s, sum(abs(sx)) AS nx, sum(abs(sy)) AS ny FROM p GROUP BY node)
+SELECT node, round(CASE WHEN nx > 0 AND ny > 0 THEN s / sqrt(CAST(nx * ny AS DOUBLE)) END, 9) AS tau FROM s""")
+def _(spark, sf):
+    return rounded(networks.kendall(D.one(spark, sf, "revenue"), D.one(spark, sf, "qty")), tau=9)
+
+
+@register("reheader", _net_sql(", t AS (SELECT i, j, score FROM net WHERE score > 0.95), n AS (SELECT DISTINCT unnest([i, j]) AS node FROM t), k AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM n) SELECT a.id AS i, b.id AS j, round(score, 9) AS score FROM t JOIN k a ON a.node = t.i JOIN k b ON b.node = t.j"))
+def _(spark, sf):
+    return rounded(query.reheader(query.threshold(D.fused(spark, sf), 0.95).select("i", "j", "score")), score=9)
+
+
+@register("resolve_paths", "SELECT n_name AS name, string_split(n_regionkey || ':' || n_nationkey, ':')[1] AS level1, string_split(n_regionkey || ':' || n_nationkey, ':')[2] AS level2 FROM nation")
+def _(spark, sf):
+    n = D.table(spark, sf, "nation").select("n_name", F.concat_ws(":", "n_regionkey", "n_nationkey").alias("path"))
+    parts = F.split("path", ":")
+    return n.select(F.col("n_name").alias("name"), F.coalesce(F.get(parts, F.lit(0)), F.lit("NA")).alias("level1"), F.coalesce(F.get(parts, F.lit(1)), F.lit("NA")).alias("level2"))
+
+
+@register("sample_exact")
+def _(spark, sf):
+    return query.sample(D.shipped_together(spark, sf), 30, seed=1)
+
+
+@register("sample_replacement")
+def _(spark, sf):
+    return query.sample(D.shipped_together(spark, sf), 50, seed=1, replacement=True)
+
+
+@register("components", f"""WITH RECURSIVE {D.COSHIP_SQL}, l AS (SELECT i, j FROM co WHERE score >= 9), s AS (SELECT i AS a, j AS b FROM l UNION ALL SELECT j, i FROM l),
+r AS (SELECT DISTINCT a AS node, a AS seen FROM s UNION SELECT s.b, r.seen FROM r JOIN s ON s.a = r.node) SELECT node, min(seen) AS component FROM r GROUP BY node""")
+def _(spark, sf):
+    return components.components(D.shipped_together(spark, sf, 9), a="i", b="j")
+
+
+_SPARSE = D.COSHIP_SQL + ", l AS (SELECT i, j, score FROM co WHERE score >= 8)"
+
+
+@register("triangles_transitivity", f"WITH {_SPARSE}, t AS (SELECT count(*) AS triangles FROM l a JOIN l b ON a.j = b.i JOIN l c ON c.i = a.i AND c.j = b.j), k AS (SELECT CAST(coalesce(sum(d * (d - 1) // 2), 0) AS BIGINT) AS triples FROM (SELECT n, count(*) AS d FROM (SELECT i AS n FROM l UNION ALL SELECT j FROM l) GROUP BY n)) SELECT triangles, triples, round(CASE WHEN triples > 0 THEN 3 * triangles / triples END, 9) AS transitivity FROM t, k")
+def _(spark, sf):
+    return rounded(networks.triangles(D.shipped_together(spark, sf, 8)), transitivity=9)
+
+
+@register("degree_counts", f"WITH {_SPARSE} SELECT d AS degree, count(*) AS nodes FROM (SELECT n, count(*) AS d FROM (SELECT i AS n FROM l UNION ALL SELECT j FROM l) GROUP BY n) GROUP BY d")
+def _(spark, sf):
+    return networks.degree_counts(D.shipped_together(spark, sf, 8))
+
+
+@register("threshold_sweep", f"WITH {D.COSHIP_SQL}, c AS (SELECT k AS step, 2.0 + k AS cut FROM range(11) t(k)) SELECT step, CAST(cut AS DOUBLE) AS cut, count(DISTINCT n) AS nodes, CAST(count(n) / 2 AS BIGINT) AS edges FROM c LEFT JOIN (SELECT i AS n, score FROM co UNION ALL SELECT j, score FROM co) e ON e.score >= c.cut GROUP BY step, cut")
+def _(spark, sf):
+    return networks.sweep(D.shipped_together(spark, sf), 2.0, 12.0, 10)
+
+
+_PR = 3
+
+
+def _pagerank_sql() -> str:
+    out = f"WITH {D.COSHIP_SQL}, s AS (SELECT i AS node, j AS other, score FROM co UNION ALL SELECT j, i, score FROM co), q AS (SELECT node, other, score / sum(score) OVER (PARTITION BY node) AS share FROM s), n AS (SELECT count(DISTINCT node) AS n FROM s), p0 AS (SELECT DISTINCT node, 1.0::DOUBLE / n AS p FROM s, n)"
+    for k in range(_PR):
+        out += f", p{k + 1} AS (SELECT other AS node, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * sum(share * p) AS p FROM q JOIN p{k} USING (node), n GROUP BY other)"
+    return out + f" SELECT node, round(p, 9) AS pagerank FROM p{_PR}"
+
+
+@register("pagerank_k", _pagerank_sql())
+def _(spark, sf):
+    return rounded(networks.pagerank(D.shipped_together(spark, sf), _PR), pagerank=9)
+
+
+@register("zscore", f"WITH {D.EXPR_SQL} SELECT sample, gene, round((value - avg(value) OVER (PARTITION BY gene)) / stddev_samp(value) OVER (PARTITION BY gene), 6) AS value FROM expr")
+def _(spark, sf):
+    return rounded(association.zscore(D.expression(spark, sf)).withColumn("gene", F.col("gene").cast("long")), value=6)
+
+
+_COR = "cor AS (SELECT a.gene AS i, b.gene AS j, corr(a.value, b.value) AS score FROM {e} a JOIN {e} b ON a.sample = b.sample AND a.gene > b.gene GROUP BY 1, 2)"
+_PEARSON = f"{D.EXPR_SQL}, {_COR.format(e='expr')}"
+
+
+def _long_genes(df):
+    return df.withColumns({c: F.col(c).cast("long") for c in ("i", "j")})
+
+
+@register("pearson", f"WITH {_PEARSON} SELECT i, j, round(score, 6) AS score FROM cor")
+def _(spark, sf):
+    return rounded(_long_genes(association.pearson(D.expression(spark, sf))), score=6)
+
+
+@register("spearman", f"WITH {D.EXPR_SQL}, rk AS (SELECT sample, gene, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS value FROM expr), {_COR.format(e='rk')} SELECT i, j, round(score, 6) AS score FROM cor")
+def _(spark, sf):
+    return rounded(_long_genes(association.spearman(D.expression(spark, sf))), score=6)
+
+
+@register("gaussian_mi", f"WITH {_PEARSON} SELECT i, j, round(-0.5 * ln(1 - score * score), 6) AS score FROM cor")
+def _(spark, sf):
+    return rounded(_long_genes(association.gaussian_mi(association.pearson(D.expression(spark, sf)))), score=6)
+
+
+_SOFT = {"unsigned": "pow(abs(score), 2)", "signed": "pow((1 + score) / 2, 2)", "hybrid": "CASE WHEN score > 0 THEN pow(score, 2) ELSE 0 END"}
+for _kind, _expr in _SOFT.items():
+    QUERIES[f"tom_{_kind}"] = lambda spark, sf, k=_kind: rounded(_long_genes(association.tom(association.pearson(D.expression(spark, sf)), 2, k)), score=6)
+    ORACLES[f"tom_{_kind}"] = f"""WITH {_PEARSON}, a AS (SELECT i, j, {_expr} AS w FROM cor), s AS (SELECT i AS n, j AS o, w FROM a UNION ALL SELECT j, i, w FROM a), k AS (SELECT n, sum(w) AS k FROM s GROUP BY n),
+l AS (SELECT x.n AS i, y.o AS j, sum(x.w * y.w) AS l FROM s x JOIN s y ON x.o = y.n AND x.n > y.o GROUP BY 1, 2)
+SELECT a.i, a.j, round((coalesce(l, 0) + w) / (least(p.k, q.k) + 1 - w), 6) AS score FROM a LEFT JOIN l ON l.i = a.i AND l.j = a.j JOIN k p ON p.n = a.i JOIN k q ON q.n = a.j"""
+
+_MI = _PEARSON + ", mi AS (SELECT i, j, -0.5 * ln(1 - score * score) AS score FROM cor), ms AS (SELECT i AS n, j AS o, score FROM mi UNION ALL SELECT j, i, score FROM mi)"
+
+
+def _mi(spark, sf):
+    return association.gaussian_mi(association.pearson(D.expression(spark, sf)))
+
+
+@register("clr", f"WITH {_MI}, z AS (SELECT n, sum(score) / 64 AS m, sqrt((sum(score * score) - sum(score) * sum(score) / 64) / 63) AS sd FROM ms GROUP BY n) SELECT i, j, round(sqrt(pow(greatest((score - a.m) / a.sd, 0), 2) + pow(greatest((score - b.m) / b.sd, 0), 2)), 6) AS score FROM mi JOIN z a ON a.n = i JOIN z b ON b.n = j")
+def _(spark, sf):
+    return rounded(_long_genes(association.clr(_mi(spark, sf), 64)), score=6)
+
+
+@register("aracne_dpi", f"WITH {_MI}, l AS (SELECT x.n AS i, y.o AS j, max(least(x.score, y.score)) AS over FROM ms x JOIN ms y ON x.o = y.n AND x.n > y.o GROUP BY 1, 2) SELECT mi.i, mi.j, round(CASE WHEN over > score THEN 0 ELSE score END, 6) AS score FROM mi LEFT JOIN l USING (i, j)")
+def _(spark, sf):
+    return rounded(_long_genes(association.dpi(_mi(spark, sf))), score=6)
