@@ -97,6 +97,8 @@ def _names() -> list[str]:
 
 def judge(measured: DataFrame) -> DataFrame:
     """measured with kept: false for base failures and for documents beyond a fence of their group."""
+    # written first: a filter on a measure would otherwise be pushed below the projections that make it
+    measured = Scratch(measured.sparkSession).cut(measured, "measured")
     counts = sketch(measured)
     near, wide, all_ = _fences(counts, ["lang", "source"]), _fences(counts, ["lang"]), _fences(counts.withColumn("every", F.lit(1)), ["every"]).drop("every")
     ren = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}" if c not in ("lang", "source") else c) for c in df.columns])
@@ -113,8 +115,7 @@ def judge(measured: DataFrame) -> DataFrame:
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
-    measured = Scratch(spark).cut(measure(spark.read.parquet(f"{sf_dir}/documents.parquet")), "measured")
-    return judge(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(measure(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _sql_value(m: tuple) -> str:
