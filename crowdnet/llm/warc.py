@@ -74,14 +74,20 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, type, id, refers_to, digest, payload) of the records of all files in path; payload is binary."""
+    """(file, type, id, refers_to, digest, payload) of the records of all files in path; payload is binary.
+
+    Only offsets are shuffled. A payload is taken from its own piece; the pieces for which that isn't enough are listed
+    and broadcast, or joined by a shuffle if there are more than BROADCAST_ROWS of them.
+    """
     scratch = Scratch(spark)
     raw = pieces(spark, path)
     has_head = F.locate(GAP, F.col("text")) > 0
     raw = raw.withColumn("text", F.decode("body", "ISO-8859-1")).withColumn("head", F.when(has_head, F.concat(F.substring_index("text", GAP, 1), F.lit("\r\n"))))
     length = F.expr("try_cast(" + r"regexp_extract(head, '(?im)^Content-Length: *([0-9]+)', 1)" + " as long)")
     raw = raw.select("file", "block", "row", "size", "body", F.length("head").cast("long").alias("head_size"), length.alias("length"), _field("WARC-Type").alias("type"), _field("WARC-Record-ID").alias("id"), _field("WARC-Refers-To").alias("refers_to"), F.regexp_extract(_field("WARC-Payload-Digest"), "^(?:sha1:)?(.*)$", 1).alias("digest"))
-    raw = scratch.cut(raw, "pieces")
+    stored = scratch.path("pieces")
+    raw.write.option("compression", "zstd").parquet(stored)
+    raw = spark.read.schema(raw.schema).parquet(stored)
 
     splits = raw.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     before = F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
@@ -96,20 +102,26 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     kept = scratch.cut(_reachable(light.select("file", "at", "next"), scratch), "records")
     cut_off = light.groupBy("file").agg(F.max(F.col("at") + F.col("size")).alias("file_end"))
-    marks = light.filter("at >= 0").join(kept.withColumn("kept", F.lit(True)), ["file", "at"], "left").join(cut_off, "file")
+    marks = light.join(kept.withColumn("kept", F.lit(True)), ["file", "at"], "left").join(cut_off, "file")
     marks = marks.withColumn("owner", F.last(F.when(F.col("kept"), F.struct("at", "row", "content_end")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at")))
-    marks = marks.filter("owner IS NOT NULL AND owner.content_end <= file_end")
-    marks = scratch.cut(marks.select(F.col("file").alias("f"), F.col("row").alias("r"), F.col("at").alias("piece_at"), F.col("owner.row").alias("owner_row"), F.col("owner.at").alias("at"), (F.col("owner.content_end") - F.col("owner.at")).alias("span")), "owners")
-    joined = marks.join(raw, (marks["f"] == raw["file"]) & (marks["r"] == raw["row"]))
-    whole = joined.filter("r = owner_row")
-    magic = F.encode(F.lit(MAGIC), "UTF-8")
+    held = F.col("owner").isNotNull() & (F.col("owner.content_end") <= F.col("file_end"))
+    alone = F.coalesce(held & (F.col("owner.row") == F.col("row")) & (F.col("content_end") <= F.col("at") + F.col("size")), F.lit(False))
+    # pieces that aren't a record with its whole payload: owner_row is null for those that belong to no record
+    odd = marks.filter(~alone).select(F.col("file").alias("f"), F.col("row").alias("r"), F.col("at").alias("piece_at"), F.when(held, F.col("owner.row")).alias("owner_row"), F.when(held, F.col("owner.at")).alias("at"))
+    odd = scratch.cut(odd, "odd")
+    if odd.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        odd = F.broadcast(odd)
+    same = (F.col("f") == F.col("file")) & (F.col("r") == F.col("row"))
+    start = (F.col("head_size") + len(GAP) - 2 + 1).cast("int")
+    names = ["file", "type", "id", "refers_to", "digest"]
+    plain = raw.filter("head_size IS NOT NULL").join(odd, same, "left_anti").select(*names, F.substring("body", start, F.col("length").cast("int")).alias("payload"))
+    joined = raw.join(odd.filter("owner_row IS NOT NULL"), same)
     # a payload that holds the magic is in several pieces
+    magic = F.encode(F.lit(MAGIC), "UTF-8")
     rest = joined.filter("r <> owner_row").groupBy("file", "at").agg(F.sort_array(F.collect_list(F.struct("piece_at", "body"))).alias("more"))
     rest = rest.select(F.col("file").alias("f2"), F.col("at").alias("at2"), F.aggregate("more", F.encode(F.lit(""), "UTF-8"), lambda s, x: F.concat(s, magic, x["body"])).alias("more"))
-    whole = whole.join(rest, (F.col("file") == F.col("f2")) & (F.col("at") == F.col("at2")), "left")
-    body = F.when(F.col("more").isNull(), F.col("body")).otherwise(F.concat("body", "more"))
-    payload = F.substring(body, (F.col("head_size") + len(GAP) - 2 + 1).cast("int"), F.col("length").cast("int"))
-    return whole.select("file", "at", "type", "id", "refers_to", "digest", payload.alias("payload"))
+    whole = joined.filter("r = owner_row").join(rest, (F.col("file") == F.col("f2")) & (F.col("at") == F.col("at2")))
+    return plain.union(whole.select(*names, F.substring(F.concat("body", "more"), start, F.col("length").cast("int")).alias("payload")))
 
 
 def _reachable(links: DataFrame, scratch: Scratch) -> DataFrame:
