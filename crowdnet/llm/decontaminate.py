@@ -16,13 +16,14 @@ passages of one item in a text each is reported; an empty table on either side g
 carried along.
 """
 
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,8 @@ MATCH = "array<struct<item_id:long,score:double,words:int,start:int,stop:int>>"
 
 
 def plain(word: str) -> str:
-    return "".join(c for c in word.casefold() if c.isalnum())
+    word = word.casefold()
+    return word if word.isalnum() else "".join(filter(str.isalnum, word))
 
 
 class WordIds(dict):
@@ -49,6 +51,7 @@ class WordIds(dict):
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self.vocabulary = vocabulary
+        self.known = pa.array(list(vocabulary), pa.string())
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHED_WORDS:
@@ -57,21 +60,34 @@ class WordIds(dict):
         i = self[word] = self.vocabulary.get(p, OTHER) if p else NOTHING
         return i
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words that have a letter or digit, and their places among all words."""
-        words = text.split() if text else []
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words with a letter or digit in all texts: ids, places among all words of their text, and texts.
+
+        Every distinct word of the batch is looked up once: as an Arrow array if only ASCII letters and digits are left
+        between its ASCII punctuation, else as a string.
+        """
+        parts = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        words, owner = parts.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+        coded, owner = words.dictionary_encode(), owner[full]
+        bare = pc.ascii_trim(coded.dictionary, characters=string.punctuation)
+        simple = pc.ascii_is_alnum(bare)
+        ids = pc.index_in(pc.ascii_lower(bare), value_set=self.known).fill_null(OTHER).to_numpy().astype(np.int64)
+        others = coded.dictionary.filter(pc.invert(simple)).to_pylist()
+        ids[~simple.to_numpy(zero_copy_only=False)] = np.fromiter(map(self.__getitem__, others), np.int64, len(others))
+        ids = ids[coded.indices.to_numpy()[full]]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
         at = np.flatnonzero(ids != NOTHING)
-        return ids[at], at
+        return ids[at], place[at], owner[at]
 
 
-def seeds_of(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-word sequences of known words and their places."""
+def seeds_of(ids: np.ndarray, n: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-word sequences of known words of one text and their places."""
     m = len(ids) - n + 1
     if m <= 0:
         return np.empty(0, U64), np.empty(0, np.int64)
     known = ids >= 0
-    ok = known[:m].copy()
+    ok = known[:m] & (owner[:m] == owner[n - 1 :])
     for k in range(1, n):
         ok &= known[k : k + m]
     at = np.flatnonzero(ok)
@@ -105,7 +121,7 @@ def build(rows: list[tuple]) -> Index:
     found = []
     for i, ids in enumerate(items):
         n = min(SEED, len(ids))
-        h, at = seeds_of(ids, n)
+        h, at = seeds_of(ids, n, np.zeros(len(ids)))
         found += [(int(k) ^ n if n < SEED else int(k), i, int(p)) for k, p in zip(h, at, strict=True)]
     found.sort()
     every = np.array([f[0] for f in found], U64)
@@ -113,11 +129,11 @@ def build(rows: list[tuple]) -> Index:
     return Index(item_ids, items, vocabulary, keys, np.append(first, len(found)), np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64), sorted({min(SEED, len(x)) for x in items}))
 
 
-def hits(index: Index, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(seed, place) of all seeds in a text."""
+def hits(index: Index, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(seed, place) of all seeds in a batch of texts."""
     seeds, places = [], []
     for n in index.lengths:
-        h, at = seeds_of(ids, n)
+        h, at = seeds_of(ids, n, owner)
         if n < SEED:
             h = h ^ U64(n)
         k = np.minimum(np.searchsorted(index.keys, h), len(index.keys) - 1)
@@ -144,12 +160,8 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, stop
 
 
-def find(index: Index, common: np.ndarray, ids: np.ndarray, at: np.ndarray, least_score: float, least_words: int) -> list[tuple]:
-    seeds, places = hits(index, ids)
-    rare = ~common[seeds]
-    seeds, places = seeds[rare], places[rare]
-    if not len(seeds):
-        return []
+def find(index: Index, seeds: np.ndarray, places: np.ndarray, ids: np.ndarray, at: np.ndarray, least_score: float, least_words: int) -> list[tuple]:
+    """Matches of a text with these rare seeds."""
     proposed: dict[int, set[int]] = {}
     for s, p in zip(seeds.tolist(), places.tolist(), strict=True):
         for k in range(index.first[s], index.first[s + 1]):
@@ -186,6 +198,20 @@ def find(index: Index, common: np.ndarray, ids: np.ndarray, at: np.ndarray, leas
     return out
 
 
+def find_all(index: Index, common: np.ndarray, cache: WordIds, texts: pa.Array, least_score: float, least_words: int) -> list[list[tuple]]:
+    """Matches of each text of a batch."""
+    ids, at, owner = cache.of(texts)
+    seeds, places = hits(index, ids, owner)
+    rare = ~common[seeds]
+    seeds, places = seeds[rare], places[rare]
+    out: list[list[tuple]] = [[] for _ in range(len(texts))]
+    for k in np.unique(owner[places]):
+        lo, hi = np.searchsorted(owner, [k, k + 1])
+        own = owner[places] == k
+        out[k] = find(index, seeds[own], places[own] - lo, ids[lo:hi], at[lo:hi], least_score, least_words)
+    return out
+
+
 def blocks(bench: DataFrame, item_id: str, text: str) -> Iterator[Index]:
     """The items in blocks of about BLOCK_WORDS words and BLOCK_ITEMS items."""
     items = bench.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).filter("text IS NOT NULL")
@@ -207,9 +233,10 @@ def common_seeds(docs: DataFrame, text: str, index: Index) -> np.ndarray:
         own = shared.value
         cache, seen, n = WordIds(own.vocabulary), np.zeros(len(own.keys), np.int64), 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                n += 1
-                seen[np.unique(hits(own, cache.of(t)[0])[0])] += 1
+            ids, _, owner = cache.of(b.column(0))
+            seeds, places = hits(own, ids, owner)
+            n += b.num_rows
+            seen += np.bincount(np.unique(owner[places] * len(seen) + seeds) % len(seen), minlength=len(seen))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], names=["seed", "n"])
 
@@ -229,15 +256,17 @@ def common_seeds(docs: DataFrame, text: str, index: Index) -> np.ndarray:
 
 
 def searcher(shared, least_score: float, least_words: int):
-    """A pandas UDF from texts to their matches."""
+    """An Arrow UDF from texts to their matches."""
 
-    @F.pandas_udf(T._parse_datatype_string(MATCH))
-    def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T._parse_datatype_string(MATCH))
+    def search(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, common = shared.value
         cache = WordIds(own.vocabulary)
         names = ("item_id", "score", "words", "start", "stop")
+        kind = pa.list_(pa.struct(list(zip(names, (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()), strict=True))))
         for part in parts:
-            yield pd.Series([[dict(zip(names, m, strict=True)) for m in find(own, common, *cache.of(t), least_score, least_words)] for t in part], dtype=object)
+            found = find_all(own, common, cache, part, least_score, least_words)
+            yield pa.array([[dict(zip(names, m, strict=True)) for m in ms] for ms in found], kind)
 
     return search
 
