@@ -73,3 +73,16 @@ def dpi(mi: DataFrame) -> DataFrame:
     least = two.groupBy(F.col("node").alias("i"), F.col("end").alias("j")).agg(F.max(F.least("s1", "s2")).alias("over"))
     d = mi.select("i", "j", "score").join(least, ["i", "j"], "left")
     return d.select("i", "j", F.when(F.col("over") > F.col("score"), 0.0).otherwise(F.col("score")).alias("score"))
+
+
+def bicor(expr: DataFrame) -> DataFrame:
+    """(i, j, score): biweight midcorrelation of genes; null where more than half of a gene's values are the same."""
+    mid = expr.groupBy("gene").agg(F.percentile("value", 0.5).alias("mid"))
+    d = expr.join(mid, "gene").withColumn("x", F.col("value") - F.col("mid"))
+    mad = d.groupBy("gene").agg(F.percentile(F.abs("x"), 0.5).alias("mad"))
+    u = F.col("x") / F.nullif(9 * F.col("mad"), F.lit(0.0))
+    d = d.join(mad, "gene").select("sample", "gene", F.when(F.abs(u) < 1, F.col("x") * F.pow(1 - u * u, 2)).when(u.isNotNull(), 0.0).alias("x"))
+    norms = d.groupBy("gene").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    d = d.join(norms, "gene").select("sample", "gene", (F.col("x") / F.col("norm")).alias("x"))
+    a, b = d.select("sample", F.col("gene").alias("i"), F.col("x").alias("x1")), d.select("sample", F.col("gene").alias("j"), F.col("x").alias("x2"))
+    return a.join(b, "sample").filter("i > j").groupBy("i", "j").agg(F.sum(F.col("x1") * F.col("x2")).alias("score"))

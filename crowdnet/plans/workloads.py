@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdnet.functions import filters
-from crowdnet.operators import association, components, consensus, networks, query, ranking
+from crowdnet.operators import association, centrality, components, consensus, networks, query, ranking
 from crowdnet.plans import datasets as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,3 +383,55 @@ def _(spark, sf):
 @register("aracne_dpi", f"WITH {_MI}, l AS (SELECT x.n AS i, y.o AS j, max(least(x.score, y.score)) AS over FROM ms x JOIN ms y ON x.o = y.n AND x.n > y.o GROUP BY 1, 2) SELECT mi.i, mi.j, round(CASE WHEN over > score THEN 0 ELSE score END, 6) AS score FROM mi LEFT JOIN l USING (i, j)")
 def _(spark, sf):
     return rounded(_long_genes(association.dpi(_mi(spark, sf))), score=6)
+
+
+_NET = "WITH RECURSIVE " + D.fused_sql() + ", e AS (SELECT i AS node, j AS other, score FROM net UNION ALL SELECT j, i, score FROM net)"
+
+
+@register("laplacian_centrality", _NET + """, s AS (SELECT node, sum(score) AS s FROM e GROUP BY 1)
+SELECT s.node, round(any_value(s.s * s.s) + sum(2 * t.s * e.score + e.score * e.score), 6) AS laplacian FROM s JOIN e ON s.node = e.node JOIN s t ON t.node = e.other GROUP BY s.node""")
+def _laplacian(spark, sf):
+    return rounded(centrality.laplacian(D.fused(spark, sf)), laplacian=6)
+
+
+def _unrolled(rounds: int, step: str) -> str:
+    """CTEs x1... each made from the one before."""
+    return ", x0 AS (SELECT DISTINCT node, CAST(1.0 AS DOUBLE) AS x FROM e)" + "".join(f", x{k} AS MATERIALIZED (SELECT other AS node, {step} AS x FROM e JOIN x{k - 1} p ON e.node = p.node GROUP BY other)" for k in range(1, rounds + 1))
+
+
+@register("eigenvector_k", _NET + _unrolled(6, "sum(e.score * p.x)") + " SELECT node, round(x / sqrt(sum(x * x) OVER ()), 6) AS eigenvector FROM x6")
+def _eigenvector(spark, sf):
+    return rounded(centrality.eigenvector(D.fused(spark, sf), 6), eigenvector=6)
+
+
+@register("katz_k", _NET + _unrolled(5, "1.0 + 0.02 * sum(e.score * p.x)") + " SELECT node, round(x, 6) AS katz FROM x5")
+def _katz(spark, sf):
+    return rounded(centrality.katz(D.fused(spark, sf), 6, 0.02), katz=6)
+
+
+_LINKS = ", l AS (SELECT node, other, 1 / abs(CASE WHEN score = 0 THEN 1e-8 ELSE score END) AS len FROM e), d0 AS (SELECT DISTINCT node AS source, node, CAST(0 AS DOUBLE) AS d FROM l)" + "".join(
+    f", d{k} AS MATERIALIZED (SELECT source, node, min(d) AS d FROM (SELECT * FROM d{k - 1} UNION ALL SELECT p.source, l.other, p.d + l.len FROM d{k - 1} p JOIN l ON p.node = l.node) GROUP BY 1, 2)" for k in range(1, 13)
+)
+
+
+@register("shortest_paths", _NET + _LINKS + " SELECT source, node, round(d, 6) AS distance FROM d12")
+def _paths(spark, sf):
+    return rounded(centrality.distances(D.fused(spark, sf)), distance=6)
+
+
+@register("closeness", _NET + _LINKS + " SELECT source AS node, round(count(*) / sum(d) * count(*) / (SELECT count(DISTINCT source) - 1 FROM d12), 6) AS closeness FROM d12 WHERE source <> node GROUP BY 1")
+def _closeness(spark, sf):
+    return rounded(centrality.closeness(centrality.distances(D.fused(spark, sf))), closeness=6)
+
+
+@register("path_summary", _NET + _LINKS + " SELECT round(max(d), 6) AS diameter, round(avg(d), 6) AS mean_path FROM d12")
+def _path_summary(spark, sf):
+    return rounded(centrality.path_summary(centrality.distances(D.fused(spark, sf))), diameter=6, mean_path=6)
+
+
+@register("bicor", "WITH " + D.EXPR_SQL + """, m AS (SELECT gene, median(value) AS mid FROM expr GROUP BY 1), x AS (SELECT sample, gene, value - mid AS x FROM expr JOIN m USING (gene)),
+a AS (SELECT gene, median(abs(x)) AS mad FROM x GROUP BY 1), w AS (SELECT sample, gene, CASE WHEN abs(x / (9 * mad)) < 1 THEN x * pow(1 - (x / (9 * mad)) * (x / (9 * mad)), 2) ELSE 0 END AS x FROM x JOIN a USING (gene)),
+n AS (SELECT gene, sqrt(sum(x * x)) AS norm FROM w GROUP BY 1), z AS (SELECT sample, gene, x / norm AS x FROM w JOIN n USING (gene))
+SELECT p.gene AS i, q.gene AS j, round(sum(p.x * q.x), 6) AS score FROM z p JOIN z q ON p.sample = q.sample AND p.gene > q.gene GROUP BY 1, 2""")
+def _bicor(spark, sf):
+    return rounded(association.bicor(D.expression(spark, sf)), score=6)
