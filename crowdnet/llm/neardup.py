@@ -4,8 +4,8 @@ r"""Near-duplicate documents by MinHash bands, verification on full shingle sets
    set, and one key a band; rows and bands are chosen so that a pair at the threshold is missed with a probability
    below MISS. Texts with equal sets form a class, of which only the smallest id goes on.
 2. In each bucket, all members are paired with the smallest only, which links a group of copies in linear work.
-   Pairs pass a test of sizes and of signatures (six standard deviations below the threshold), and are then confirmed
-   on the full sets.
+   Pairs pass a test of sizes and of signatures (a byte of each minimum; six standard deviations below the threshold),
+   and are then confirmed on the full sets.
 3. Where the members of a bucket still belong to different components, the pairs across components are the rest:
    small buckets by a self join, larger ones block by block, where only pairs that pass the tests leave a block.
    So no candidate pair of a bucket goes unexamined, and no bucket is capped.
@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crowdnet.llm.membership import rows_in
 from crowdnet.llm.words import U64, WordHashes, ascii_words, list_column, mix64, shingle_set, small_batches
 from crowdnet.operators.components import components
 from crowdnet.scratch import Scratch
 
-MISS, MOST_HASHES, SIGNATURE = 1e-6, 360, 128
+MISS, MOST_HASHES, LEAST_HASHES = 1e-6, 360, 128
 #: Buckets up to this many members are joined with themselves, others in blocks of about BLOCK members.
 SMALL_BUCKET, BLOCK = 64, 512
 FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>"
@@ -49,6 +50,11 @@ def banding(percent: int) -> tuple[int, int]:
     return best
 
 
+def hashes(rows: int, bands: int) -> int:
+    """The minima of a text, and so the bytes of its signature."""
+    return max(rows * bands, LEAST_HASHES)
+
+
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     return rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
@@ -70,7 +76,7 @@ def minima(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 def _features(shingle: int, rows: int, bands: int):
     def run(batches):
         cache = WordHashes()
-        n = max(rows * bands, SIGNATURE)
+        n = hashes(rows, bands)
         salts = mix64(np.arange(1, bands + 1, dtype=U64))
         for batch in batches:
             if not batch.num_rows:
@@ -78,10 +84,10 @@ def _features(shingle: int, rows: int, bands: int):
             sets = [shingle_set(ascii_words(t), shingle, cache) for t in batch.column(1).to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
-            keys, signs = np.empty((0, bands), U64), np.empty((0, SIGNATURE), np.uint8)
+            keys, signs = np.empty((0, bands), U64), np.empty((0, n), np.uint8)
             if len(full):
                 m = minima(np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(sizes[full])[:-1]]), n)
-                signs = np.ascontiguousarray(m[:, :SIGNATURE] >> 7).astype(np.uint8)
+                signs = np.ascontiguousarray(m >> 7).astype(np.uint8)
                 own = m[:, : rows * bands].astype(U64).reshape(len(full), bands, rows)
                 keys = np.broadcast_to(salts, (len(full), bands)).copy()
                 for j in range(rows):
@@ -117,13 +123,15 @@ def _sets(shingle: int):
 
 def least_matches(percent: int) -> int:
     """Equal bytes that the signatures of a pair at the threshold have, less six standard deviations."""
-    p = percent / 100
-    return math.floor(SIGNATURE * p - 6 * math.sqrt(SIGNATURE * p * (1 - p)))
+    p, n = percent / 100, hashes(*banding(percent))
+    return math.floor(n * p - 6 * math.sqrt(n * p * (1 - p)))
 
 
 @F.pandas_udf(T.IntegerType())
 def _matches(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, SIGNATURE) for s in (a, b))
+    if not len(a):
+        return pd.Series([], dtype=np.int32)
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
     return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
 
@@ -142,20 +150,22 @@ class _Run:
         near = near.filter(_matches("s_a", "s_b") >= least_matches(self.percent)).select("a", "b", "n_a", "n_b")
         near = self.scratch.cut(near, "near")
         ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-        texts = self.docs.join(ids, self.docs["doc_id"] == ids["id"], "left_semi")
+        texts = rows_in(self.docs, "doc_id", ids)
         sets = self.scratch.cut(texts.mapInArrow(_sets(self.shingle), "id long, shingles array<long>"), "sets")
         both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         out = self.scratch.cut(both.filter(100 * common >= self.percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "links")
         self.scratch.drop(sets)
+        self.scratch.drop(near)
         return out
 
     def rest(self, shared: DataFrame, parts: DataFrame, reps: DataFrame) -> DataFrame:
         """Pairs of one bucket but different components that haven't been compared."""
         m = shared.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        m = self.scratch.cut(m, "members")
+        members = m = self.scratch.cut(m, "members")
         open_ = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi AND size > 2").select("key", "size")
         m = self.scratch.cut(m.join(open_, "key"), "open")
+        self.scratch.drop(members)
         small = m.filter(F.col("size") <= SMALL_BUCKET).select("key", "rep", "center", "component", "n_shingles")
         x, y = (small.select("key", *[F.col(c).alias(f"{c}_{k}") for c in small.columns[1:]]) for k in "ab")
         pairs = x.join(y, "key").filter((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") != F.col("center_a")))
@@ -163,7 +173,9 @@ class _Run:
         large = m.filter(F.col("size") > SMALL_BUCKET)
         if not large.isEmpty():
             pairs = pairs.union(self.blocks(large, reps))
-        return pairs.distinct()
+        pairs = self.scratch.cut(pairs.distinct(), "rest")
+        self.scratch.drop(m)
+        return pairs
 
     def blocks(self, large: DataFrame, reps: DataFrame) -> DataFrame:
         d = large.join(reps.select(F.col("doc_id").alias("rep"), "signature"), "rep").withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -175,7 +187,9 @@ class _Run:
             i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
             left, right = (pdf, pdf) if i == j else (pdf[pdf["own"] == i], pdf[pdf["own"] == j])
             out = []
-            signs = np.frombuffer(b"".join(right["signature"]), np.uint8).reshape(-1, SIGNATURE)
+            if not len(left) or not len(right):
+                return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            signs = np.frombuffer(b"".join(right["signature"]), np.uint8).reshape(len(right), -1)
             rep, comp, n = (right[c].to_numpy() for c in ("rep", "component", "n_shingles"))
             for r, c, k, s in zip(left["rep"], left["component"], left["n_shingles"], left["signature"], strict=True):
                 fit = np.flatnonzero((comp != c) & (100 * np.minimum(n, k) >= percent * np.maximum(n, k)) & ((rep > r) | (i != j)))
@@ -200,7 +214,8 @@ class _Run:
         star = shared.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
         links = self.confirmed(star, reps)
         parts = self.scratch.cut(components(links, self.scratch), "parts")
-        more = self.scratch.cut(self.rest(shared, parts, reps), "rest")
+        more = self.rest(shared, parts, reps)
+        self.scratch.drop(shared)
         if not more.isEmpty():
             links = links.union(self.confirmed(more, reps))
             parts = self.scratch.cut(components(links, self.scratch), "parts")

@@ -327,3 +327,15 @@ def test_word_hashes_forget_but_agree(monkeypatch):
     cache = words.WordHashes()
     w = [b"a", b"b", b"c", b"d", b"a"]
     assert cache.of(w)[0] == cache.of(w)[4] == words.WordHashes().of([b"a"])[0]
+
+
+def test_membership_is_exact(spark):
+    from crowdnet.llm.membership import rows_in, rows_not_in
+
+    rows = spark.range(3000).selectExpr("id AS doc_id", "id % 7 AS id", "CAST(NULL AS STRING) AS slot").union(spark.sql("SELECT CAST(NULL AS BIGINT), 1L, 'x'")).union(spark.sql("SELECT 9L, 2L, 'again'"))
+    ids = spark.range(0, 3000, 3).union(spark.range(0, 30, 3)).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    inside, outside = rows_in(rows, "doc_id", ids), rows_not_in(rows, "doc_id", ids)
+    assert inside.columns == outside.columns == rows.columns
+    assert sorted(r["doc_id"] for r in inside.collect()) == sorted([*range(0, 3000, 3), 9])
+    assert {r["doc_id"] for r in outside.collect()} == {k for k in range(3000) if k % 3} | {None}
+    assert rows_in(rows, "doc_id", ids.limit(0)).count() == 0 and rows_not_in(rows, "doc_id", ids.limit(0)).count() == 3002
