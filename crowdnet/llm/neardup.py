@@ -7,7 +7,8 @@ r"""Near-duplicate documents by MinHash bands, verification on full shingle sets
    Pairs pass a test of sizes and of signatures (a byte of each minimum; six standard deviations below the threshold),
    and are then confirmed on the full sets.
 3. Where the members of a bucket still belong to different components, the pairs across components are the rest:
-   small buckets by a self join, larger ones block by block, where only pairs that pass the tests leave a block.
+   small buckets by a self join, larger ones block by block: a pair is confirmed on its full sets in the block of the
+   first band that it shares, and only links leave a block.
    So no candidate pair of a bucket goes unexamined, and no bucket is capped.
 4. Components by alternating large-star and small-star.
 
@@ -159,8 +160,8 @@ class _Run:
         self.scratch.drop(near)
         return out
 
-    def rest(self, shared: DataFrame, parts: DataFrame, reps: DataFrame) -> DataFrame:
-        """Pairs of one bucket but different components that haven't been compared."""
+    def rest(self, shared: DataFrame, parts: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Pairs of one small bucket but different components that haven't been compared; links of large buckets."""
         m = shared.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         members = m = self.scratch.cut(m, "members")
         open_ = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi AND size > 2").select("key", "size")
@@ -171,31 +172,43 @@ class _Run:
         pairs = x.join(y, "key").filter((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") != F.col("center_a")))
         pairs = pairs.filter(self.sizes_fit("n_shingles_a", "n_shingles_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
         large = m.filter(F.col("size") > SMALL_BUCKET)
+        links = None
         if not large.isEmpty():
-            pairs = pairs.union(self.blocks(large, reps))
+            links = self.scratch.cut(self.blocks(large, reps), "links").distinct()
         pairs = self.scratch.cut(pairs.distinct(), "rest")
         self.scratch.drop(m)
-        return pairs
+        return pairs, links
 
     def blocks(self, large: DataFrame, reps: DataFrame) -> DataFrame:
-        d = large.join(reps.select(F.col("doc_id").alias("rep"), "signature"), "rep").withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int"))
-        d = d.withColumn("own", F.pmod(F.xxhash64("rep"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        d = d.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n_shingles", "signature")
+        """Links between components in large buckets, confirmed where the pair's first common band is."""
+        ids = large.select("rep").distinct()
+        sets = self.scratch.cut(rows_in(self.docs, "doc_id", ids).mapInArrow(_sets(self.shingle), "id long, shingles array<long>"), "sets")
+        full = reps.select(F.col("doc_id").alias("rep"), "signature", "bands").join(sets.withColumnRenamed("id", "rep"), "rep")
+        d = large.select("key", "rep", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("n"))
+        d = d.withColumn("own", F.pmod(F.xxhash64("rep"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(full, "rep")
+        d = d.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "signature", "bands", "shingles")
         percent, least = self.percent, least_matches(self.percent)
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+            key, i, j = int(pdf["key"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
             left, right = (pdf, pdf) if i == j else (pdf[pdf["own"] == i], pdf[pdf["own"] == j])
             out = []
             if not len(left) or not len(right):
                 return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
             signs = np.frombuffer(b"".join(right["signature"]), np.uint8).reshape(len(right), -1)
-            rep, comp, n = (right[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-            for r, c, k, s in zip(left["rep"], left["component"], left["n_shingles"], left["signature"], strict=True):
+            bands, sets = np.stack(right["bands"].to_list()), [np.asarray(x).view(U64) for x in right["shingles"]]
+            rep, comp, n = right["rep"].to_numpy(), right["component"].to_numpy(), np.array([len(x) for x in sets])
+            for r, c, s, keys, own in zip(left["rep"], left["component"], left["signature"], left["bands"], left["shingles"], strict=True):
+                mine = np.sort(np.asarray(own).view(U64))
+                k = len(mine)
                 fit = np.flatnonzero((comp != c) & (100 * np.minimum(n, k) >= percent * np.maximum(n, k)) & ((rep > r) | (i != j)))
+                fit = fit[(signs[fit] == np.frombuffer(s, np.uint8)).sum(axis=1) >= least]
                 if len(fit):
-                    fit = fit[(signs[fit] == np.frombuffer(s, np.uint8)).sum(axis=1) >= least]
-                    out += [(min(r, v), max(r, v)) for v in rep[fit].tolist()]
+                    fit = fit[keys[(bands[fit] == keys).argmax(axis=1)] == key]
+                for v in fit.tolist():
+                    common = int((mine[np.minimum(np.searchsorted(mine, sets[v]), k - 1)] == sets[v]).sum())
+                    if 100 * common >= percent * (k + int(n[v]) - common):
+                        out.append((min(r, int(rep[v])), max(r, int(rep[v]))))
             return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
         return d.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
@@ -214,10 +227,13 @@ class _Run:
         star = shared.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
         links = self.confirmed(star, reps)
         parts = self.scratch.cut(components(links, self.scratch), "parts")
-        more = self.rest(shared, parts, reps)
+        more, found = self.rest(shared, parts, reps)
         self.scratch.drop(shared)
-        if not more.isEmpty():
-            links = links.union(self.confirmed(more, reps))
+        extra = [self.confirmed(more, reps)] if not more.isEmpty() else []
+        extra += [found] if found is not None else []
+        if extra:
+            for e in extra:
+                links = links.union(e)
             parts = self.scratch.cut(components(links, self.scratch), "parts")
         classes = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
         out = features.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")

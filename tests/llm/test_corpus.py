@@ -339,3 +339,26 @@ def test_membership_is_exact(spark):
     assert sorted(r["doc_id"] for r in inside.collect()) == sorted([*range(0, 3000, 3), 9])
     assert {r["doc_id"] for r in outside.collect()} == {k for k in range(3000) if k % 3} | {None}
     assert rows_in(rows, "doc_id", ids.limit(0)).count() == 0 and rows_not_in(rows, "doc_id", ids.limit(0)).count() == 3002
+
+
+def test_blocks_find_the_links_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(90):
+        words = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 3, 4, 6])):
+            words[at] = f"x{rng.randrange(6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, shingle=3, percent=85).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    root = list(range(90))
+    for a in range(90):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    assert len(set(root)) > 2 and got == dict(enumerate(root))
