@@ -1,11 +1,10 @@
-r"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+r"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Words are compared without case and without what isn't a letter or digit. The benchmark goes through in blocks of
-bounded size, each as a broadcast index of its SEED-word sequences, against every document. The documents that hold a
-seed are counted first; a seed is rare if its count is at most RARE_SHARE of the documents (RARE_LEAST at least) or
-four times the median over its item, so that an item copied thousands of times keeps its seeds and a common turn of
-phrase is no seed. Each rare seed in a document proposes the passage around it; every proposed passage is aligned
-whole unless the words it shares with the item are too few for any alignment to reach the threshold.
+bounded size, each as a broadcast index of its SEED-word sequences, against every document. Each seed in a document,
+however common it is, proposes the passage around it for every item that holds it; every proposed passage is aligned
+whole unless the words that the document or the passage shares with the item are too few for any alignment to reach
+the threshold.
 
 An item is found in a passage if the best local alignment (match 2, other word or gap -1) reaches least_score of the
 item's own and least_words words match (all words of shorter items).
@@ -32,7 +31,6 @@ from crowdnet.llm.words import CACHED_WORDS, U64, grams, mix64, small_batches
 from crowdnet.scratch import Scratch
 
 SEED = 3
-RARE_SHARE, RARE_LEAST = 1e-4, 50
 LEAST_SCORE, LEAST_WORDS = 0.5, 8
 #: Bounds of one broadcast index.
 BLOCK_WORDS, BLOCK_ITEMS = 1_000_000, 50_000
@@ -160,12 +158,23 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, stop
 
 
-def find(index: Index, seeds: np.ndarray, places: np.ndarray, ids: np.ndarray, at: np.ndarray, least_score: float, least_words: int) -> list[tuple]:
-    """Matches of a text with these rare seeds."""
-    proposed: dict[int, set[int]] = {}
-    for s, p in zip(seeds.tolist(), places.tolist(), strict=True):
-        for k in range(index.first[s], index.first[s + 1]):
-            proposed.setdefault(int(index.of_item[k]), set()).add(p - int(index.place[k]))
+def proposals(index: Index, seeds: np.ndarray, places: np.ndarray, present: np.ndarray, least_score: float, least_words: int) -> dict[int, set[int]]:
+    """Where in a text items would start by its seeds; not those with too few words among the text's (present) to match."""
+    n = index.first[seeds + 1] - index.first[seeds]
+    k = np.repeat(index.first[seeds] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    order = np.argsort(index.of_item[k], kind="stable")
+    item, start = index.of_item[k][order], (np.repeat(places, n) - index.place[k])[order]
+    items, first = np.unique(item, return_index=True)
+    out: dict[int, set[int]] = {}
+    for i, own in zip(items.tolist(), np.split(start, first[1:]), strict=True):
+        size = len(index.items[i])
+        if np.count_nonzero(present[index.items[i]]) >= max(least_score * size, min(size, least_words)):
+            out[i] = set(own.tolist())
+    return out
+
+
+def find(index: Index, proposed: dict[int, set[int]], ids: np.ndarray, at: np.ndarray, least_score: float, least_words: int) -> list[tuple]:
+    """Matches of a text at these proposals."""
     out = []
     for i, starts in sorted(proposed.items()):
         item = index.items[i]
@@ -198,17 +207,20 @@ def find(index: Index, seeds: np.ndarray, places: np.ndarray, ids: np.ndarray, a
     return out
 
 
-def find_all(index: Index, common: np.ndarray, cache: WordIds, texts: pa.Array, least_score: float, least_words: int) -> list[list[tuple]]:
+def find_all(index: Index, cache: WordIds, texts: pa.Array, least_score: float, least_words: int) -> list[list[tuple]]:
     """Matches of each text of a batch."""
     ids, at, owner = cache.of(texts)
     seeds, places = hits(index, ids, owner)
-    rare = ~common[seeds]
-    seeds, places = seeds[rare], places[rare]
+    present = np.zeros(len(index.vocabulary), bool)
     out: list[list[tuple]] = [[] for _ in range(len(texts))]
     for k in np.unique(owner[places]):
         lo, hi = np.searchsorted(owner, [k, k + 1])
         own = owner[places] == k
-        out[k] = find(index, seeds[own], places[own] - lo, ids[lo:hi], at[lo:hi], least_score, least_words)
+        known = ids[lo:hi][ids[lo:hi] >= 0]
+        present[known] = True
+        proposed = proposals(index, seeds[own], places[own] - lo, present, least_score, least_words)
+        present[known] = False
+        out[k] = find(index, proposed, ids[lo:hi], at[lo:hi], least_score, least_words)
     return out
 
 
@@ -224,48 +236,17 @@ def blocks(bench: DataFrame, item_id: str, text: str) -> Iterator[Index]:
             yield index
 
 
-def common_seeds(docs: DataFrame, text: str, index: Index) -> np.ndarray:
-    """Which seeds of the block aren't rare in the documents."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(index)
-
-    def count(batches):
-        own = shared.value
-        cache, seen, n = WordIds(own.vocabulary), np.zeros(len(own.keys), np.int64), 0
-        for b in batches:
-            ids, _, owner = cache.of(b.column(0))
-            seeds, places = hits(own, ids, owner)
-            n += b.num_rows
-            seen += np.bincount(np.unique(owner[places] * len(seen) + seeds) % len(seen), minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], names=["seed", "n"])
-
-    df = np.zeros(len(index.keys), np.int64)
-    total = 0
-    for r in docs.select(text).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # a row for each seed of the block at most
-        if r["seed"] < 0:
-            total = r["n"]
-        else:
-            df[r["seed"]] = r["n"]
-    limit = np.full(len(index.keys), max(RARE_LEAST, RARE_SHARE * total))
-    seed_of = np.repeat(np.arange(len(index.keys)), np.diff(index.first))
-    order = np.argsort(index.of_item, kind="stable")
-    for own in np.split(seed_of[order], np.cumsum(np.bincount(index.of_item))[:-1]):
-        limit[own] = np.maximum(limit[own], 4 * np.median(df[np.unique(own)]))
-    return df > limit
-
-
 def searcher(shared, least_score: float, least_words: int):
     """An Arrow UDF from texts to their matches."""
 
     @F.arrow_udf(T._parse_datatype_string(MATCH))
     def search(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own, common = shared.value
+        own = shared.value
         cache = WordIds(own.vocabulary)
         names = ("item_id", "score", "words", "start", "stop")
         kind = pa.list_(pa.struct(list(zip(names, (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()), strict=True))))
         for part in parts:
-            found = find_all(own, common, cache, part, least_score, least_words)
+            found = find_all(own, cache, part, least_score, least_words)
             yield pa.array([[dict(zip(names, m, strict=True)) for m in ms] for ms in found], kind)
 
     return search
@@ -277,7 +258,7 @@ def contaminations(docs: DataFrame, bench: DataFrame, text: str = "text", item_i
     small_batches(spark)
     found: Column = F.array().cast(MATCH)
     for index in blocks(bench, item_id, item_text):
-        shared = spark.sparkContext.broadcast((index, common_seeds(docs, text, index)))
+        shared = spark.sparkContext.broadcast(index)
         found = F.concat(found, searcher(shared, least_score, least_words)(F.col(text)))
     return docs.withColumn(out, found)
 

@@ -121,6 +121,15 @@ def test_decontamination_finds_edited_copies(spark, odd_docs, no_docs):
     assert decontaminate.contaminations(no_docs, bench).count() == 0 and decontaminate.contaminations(d, bench.limit(0)).filter("size(matches) > 0").count() == 0
 
 
+def test_edited_items_are_found_however_many_documents_hold_them(spark):
+    rng = random.Random(40)
+    item = sentence(rng, 40).split()
+    edited = " ".join("zzzzzzzzz" if k % 5 == 4 else w for k, w in enumerate(item))
+    docs = spark.createDataFrame([(k, f"{sentence(rng, 30)} {edited} {sentence(rng, 30)}") for k in range(60)], "doc_id long, text string")
+    got = decontaminate.contaminations(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(len(r["matches"]), r["matches"][0]["start"]) for r in got if r["matches"]] == [(1, 30)] * 60
+
+
 def test_alignment_matches_the_full_table():
     rng = np.random.default_rng(0)
     for _ in range(40):
