@@ -189,21 +189,21 @@ def find(index: Index, proposed: dict[int, set[int]], ids: np.ndarray, at: np.nd
             else:
                 spans.append([lo, hi])
         counts = Counter(item.tolist())
-        for lo, hi in spans:
-            while hi > lo:
-                passage = ids[lo:hi]
-                own = Counter(passage.tolist())
-                if sum(min(n, own[w]) for w, n in counts.items()) < need:
-                    break
-                score, stop = align(item, passage)
-                back = align(item[::-1], passage[:stop][::-1])[1]
-                start = stop - back
-                same = Counter(passage[start:stop].tolist())
-                words = sum(min(n, same[w]) for w, n in counts.items())
-                if score < 2 * least_score * size or words < min(size, least_words):
-                    break
+        while spans:
+            lo, hi = spans.pop()
+            passage = ids[lo:hi]
+            own = Counter(passage.tolist())
+            if sum(min(n, own[w]) for w, n in counts.items()) < need:
+                continue
+            score, stop = align(item, passage)
+            if score < 2 * least_score * size:
+                continue
+            start = stop - align(item[::-1], passage[:stop][::-1])[1]
+            same = Counter(passage[start:stop].tolist())
+            words = sum(min(n, same[w]) for w, n in counts.items())
+            if words >= min(size, least_words):
                 out.append((index.item_ids[i], score / (2 * size), words, int(at[lo + start]), int(at[lo + stop - 1]) + 1))
-                lo += stop
+            spans += [[lo, lo + start], [lo + stop, hi]]
     return out
 
 

@@ -130,6 +130,17 @@ def test_edited_items_are_found_however_many_documents_hold_them(spark):
     assert [(len(r["matches"]), r["matches"][0]["start"]) for r in got if r["matches"]] == [(1, 30)] * 60
 
 
+def test_all_passages_of_an_item_in_a_text_are_found(spark):
+    rng = random.Random(41)
+    item = sentence(rng, 40).split()
+    edited = ["zzzzzzzzz" if k % 5 == 4 else w for k, w in enumerate(item)]
+    gap = ["yyyyyyyyy"] * 4
+    docs = [(0, edited[:39] + gap + item), (1, item + gap + edited[:39]), (2, edited[:39] + gap + item + gap + edited[:39])]
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    got = {r["doc_id"]: sorted((m["start"], m["stop"]) for m in r["matches"]) for r in decontaminate.contaminations(d, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {0: [(0, 39), (43, 83)], 1: [(0, 40), (44, 83)], 2: [(0, 39), (43, 83), (87, 126)]}
+
+
 def test_alignment_matches_the_full_table():
     rng = np.random.default_rng(0)
     for _ in range(40):
