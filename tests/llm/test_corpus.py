@@ -274,6 +274,28 @@ def test_repeated_passages(spark, odd_docs, no_docs):
     assert passages.repeated_passages(no_docs).count() == 0
 
 
+def shared_passages(a, b):
+    cache = words.WordHashes()
+    x, y = (passages.shingles_of(" ".join(t), cache) for t in (a, b))
+    return [(s[0], s[1] + passages.SHINGLE - 1) for s in passages.passages_of(x, y, passages.LEAST_SIMILARITY)]
+
+
+def test_passages_side_by_side_are_found_in_texts(spark):
+    rng = random.Random(62)
+    p, q = sentence(rng, 60), sentence(rng, 60)
+    docs = [(0, f"{p} {sentence(rng, 100)} {q}"), (1, f"{p} {sentence(rng, 8)} {q}")]
+    got = {(r["doc_id"], r["start_word"], r["stop_word"]) for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(0, 0, 60), (0, 160, 220), (1, 0, 60), (1, 68, 128)}
+
+
+def test_passages_side_by_side_are_found_each():
+    rng = random.Random(60)
+    for gap, other in ((8, 100), (0, 100), (8, 40)):
+        p, q = sentence(rng, 60).split(), sentence(rng, 60).split()
+        x = p + sentence(rng, gap).split() + q
+        assert shared_passages(x, p + sentence(rng, other).split() + q) == [(0, 60), (60 + gap, 120 + gap)]
+
+
 # resampling
 
 
