@@ -296,6 +296,27 @@ def test_passages_side_by_side_are_found_each():
         assert shared_passages(x, p + sentence(rng, other).split() + q) == [(0, 60), (60 + gap, 120 + gap)]
 
 
+def test_passages_with_an_edit_are_found():
+    rng = random.Random(61)
+    for n in (50, 60):
+        for k in range(n):
+            p = sentence(rng, n).split()
+            edited = p[:k] + ["zzzzzzzzz"] + p[k + 1 :]
+            a, b = (sentence(rng, 30).split() + t + sentence(rng, 30).split() for t in (p, edited))
+            ((start, stop),) = shared_passages(a, b)
+            assert stop - start >= 50 and start <= 31 + 4 and stop >= 29 + n - 4
+
+
+def test_a_passage_with_an_edit_near_its_start_is_found_in_texts(spark):
+    rng = random.Random(63)
+    docs = []
+    for k in range(12):
+        p = sentence(rng, 60).split()
+        docs += [(2 * k + e, " ".join([*sentence(rng, 40).split(), *p[:15], "zzzzzzzzz" if e else p[15], *p[16:], *sentence(rng, 40).split()])) for e in (0, 1)]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["start_word"], r["stop_word"]) for r in got} == {(40, 100)} and len({r["doc_id"] for r in got}) >= 20
+
+
 # resampling
 
 
