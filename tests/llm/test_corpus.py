@@ -317,6 +317,18 @@ def test_a_passage_with_an_edit_near_its_start_is_found_in_texts(spark):
     assert {(r["start_word"], r["stop_word"]) for r in got} == {(40, 100)} and len({r["doc_id"] for r in got}) >= 20
 
 
+def test_exact_repeats_are_found_beside_a_smaller_part(spark):
+    rng = random.Random(64)
+    docs, n = [], 40
+    for k in range(n):
+        p = sentence(rng, 60).split()
+        part = p[:48] if k % 2 else [*p[:14], "zzzzzzzzz", *p[15:40]]
+        docs += [(3 * k + e, " ".join([*sentence(rng, 30).split(), *t, *sentence(rng, 30).split()])) for e, t in enumerate((part, p, p))]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    whole = {r["doc_id"] for r in got if (r["start_word"], r["stop_word"], r["similarity"]) == (30, 90, 1)}
+    assert whole == {d for d, _ in docs if d % 3}
+
+
 # resampling
 
 
