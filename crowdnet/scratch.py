@@ -9,17 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="crowdnet-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """The folder named in spark.checkpoint.dir; a temporary one where that is unset and Spark runs in one JVM (tests).
+
+    On a cluster a folder of one machine would lose tables, so an unset folder is an error there.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="crowdnet-")
+        spark.sparkContext.setCheckpointDir(found)
+        delete_at_end(spark, found)
+    return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written once and read again, which cuts the lineage and survives the loss of an executor."""
+    """Tables written once and read again, which cuts the lineage and survives the loss of an executor.
+
+    What a result still reads stays until the application ends, and is deleted then.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -28,6 +37,8 @@ class Scratch:
         self._count = 0
 
     def path(self, name: str = "t") -> str:
+        if not self._count:
+            delete_at_end(self.spark, self.root)
         self._count += 1
         return f"{self.root}/{self._count:03d}-{name}"
 
@@ -39,14 +50,26 @@ class Scratch:
         out._scratch = self  # keeps the object alive as long as the table's frame
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that no later result reads."""
-        path = self._paths.pop(id(df), None)
-        if path:
-            delete(self.spark, path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later result reads."""
+        for df in tables:
+            path = self._paths.pop(id(df), None)
+            if path:
+                delete(self.spark, path)
+
+
+def _target(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _target(spark, path)
+    fs.delete(target, True)
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Make the folder and have it deleted when the driver's JVM ends."""
+    fs, target = _target(spark, path)
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
