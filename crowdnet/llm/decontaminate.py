@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crowdnet.llm.words import CACHED_WORDS, U64, grams, mix64, small_batches
+from crowdnet.llm.words import CACHED_WORDS, U64, grams, mix64, slices
 from crowdnet.scratch import Scratch
 
 SEED = 3
@@ -246,7 +246,8 @@ def searcher(shared, least_score: float, least_words: int):
         names = ("item_id", "score", "words", "start", "stop")
         kind = pa.list_(pa.struct(list(zip(names, (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()), strict=True))))
         for part in parts:
-            found = find_all(own, cache, part, least_score, least_words)
+            texts = (b.column(0) for b in slices([pa.RecordBatch.from_arrays([part], names=["text"])]))
+            found = [ms for own_texts in texts for ms in find_all(own, cache, own_texts, least_score, least_words)]
             yield pa.array([[dict(zip(names, m, strict=True)) for m in ms] for ms in found], kind)
 
     return search
@@ -255,7 +256,6 @@ def searcher(shared, least_score: float, least_words: int):
 def contaminations(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "matches", least_score: float = LEAST_SCORE, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the matches of every text: item, score, words in common, first word and the word after the last."""
     spark = docs.sparkSession
-    small_batches(spark)
     found: Column = F.array().cast(MATCH)
     for index in blocks(bench, item_id, item_text):
         shared = spark.sparkContext.broadcast(index)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdnet.llm.words import small_batches
+from crowdnet.llm.words import slices
 from crowdnet.scratch import Scratch
 
 ORDERS = (4, 3, 2, 1)
@@ -127,7 +127,7 @@ def _count(batches):
                         counts[k, g, lang] += n
         seen.clear()
 
-    for b in batches:
+    for b in slices(batches):
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             seen.setdefault(lang, Counter()).update(words_of(text))
         if sum(map(len, seen.values())) > FLUSH // 4:
@@ -143,7 +143,6 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_key: Col
     The driver gets at most KNOWN_WORDS words and KNOWN_GRAMS n-grams of each order with their counts by language.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark)
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}  # a row for each language
@@ -168,7 +167,6 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_key: Col
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """docs with the best language of each whole text and its posterior."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crowdnet.llm.mixing import uniform
-from crowdnet.llm.words import U64, WordHashes, ascii_words, grams, small_batches
+from crowdnet.llm.words import U64, WordHashes, ascii_words, grams, slices
 from crowdnet.scratch import Scratch
 
 BUCKETS = 1 << 18
@@ -41,7 +41,7 @@ def buckets_of(text: str | None, cache: WordHashes) -> np.ndarray:
 
 def _counts(batches):
     cache, raw, target = WordHashes(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for b in batches:
+    for b in slices(batches):
         for text, example in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             own = buckets_of(text, cache)
             np.add.at(raw, own, 1)
@@ -56,7 +56,6 @@ def fit(docs: DataFrame, examples: DataFrame, doc_id: str = "doc_id", text: str
 
     The driver gets one row for each bucket at most.
     """
-    small_batches(docs.sparkSession)
     ids = examples.select(F.col(doc_id).alias("_id")).filter("_id IS NOT NULL").distinct()
     n = ids.count()
     if n > limit:
@@ -78,12 +77,11 @@ def fit(docs: DataFrame, examples: DataFrame, doc_id: str = "doc_id", text: str
 
 def weigh(docs: DataFrame, table: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_grams, log_weight) of every whole text."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float64))
 
     def score(batches):
         cache, own = WordHashes(), shared.value
-        for b in batches:
+        for b in slices(batches):
             found = [buckets_of(t, cache) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([float(own[x].sum()) for x in found], pa.float64())], names=["doc_id", "n_grams", "log_weight"])
 

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: Rows of text in an Arrow batch: texts may be long and a worker's memory is small.
-ROWS_IN_BATCH = 512
+#: Rows and bytes of text that are worked on at once: texts may be long and a worker's memory is small.
+ROWS_IN_BATCH, BYTES_IN_BATCH = 512, 4_000_000
 CACHED_WORDS = 300_000
 U64 = np.uint64
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U64)
@@ -62,15 +62,12 @@ def shingle_set(words: list[bytes], n: int, cache: WordHashes) -> np.ndarray:
     return np.unique(grams(h, n) if len(h) >= n else grams(h, len(h)) + U64(len(h)))
 
 
-def small_batches(spark) -> None:
-    """Arrow batches of texts stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_IN_BATCH))
-
-
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
-    for b in batches:
-        if b.num_rows:
-            yield tuple(b.column(i).to_pylist() for i in range(b.num_columns))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in parts of at most ROWS_IN_BATCH rows and about BYTES_IN_BATCH bytes (one row at least)."""
+    for batch in batches:
+        rows = max(1, min(ROWS_IN_BATCH, BYTES_IN_BATCH * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def list_column(values: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.ListArray:

@@ -177,8 +177,7 @@ def brute_components(docs, n, percent):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("small", [64, 3])
-def test_near_duplicates_match_brute_force(spark, small, monkeypatch):
+def test_near_duplicates_match_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     docs = []
     for _ in range(6):
@@ -191,8 +190,8 @@ def test_near_duplicates_match_brute_force(spark, small, monkeypatch):
     docs += ["", None, "one", "one", "one two", "A b C", "a B c", " "]
     docs = list(enumerate(docs))
     rng.shuffle(docs)
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "PACK", 10)
     d = spark.createDataFrame(docs, "doc_id long, text string")
     for n, percent in ((3, 85), (5, 80)):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(d, shingle=n, percent=percent).collect()}
@@ -208,6 +207,29 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_of_repeated_rows_and_of_one_id_with_two_texts(spark):
+    rng = random.Random(3)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    near = a + " more"
+    rows = [(1, a)] * 20 + [(2, near)] * 20 + [(5, a), (5, b), (6, b + " end"), (7, c), (7, c + " too")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "d1": F.lit(2)})
+    got = sorted(tuple(r) for r in neardup.near_duplicates(d, shingle=3, percent=85).select("doc_id", "component_id", "kept").collect())
+    assert got == sorted([(1, 1, True)] * 20 + [(2, 1, False)] * 20 + [(5, 1, False), (5, 5, True), (6, 5, False), (7, 7, True), (7, 7, True)])
+    stay = neardup.without_near_duplicates(d, shingle=3, percent=85)
+    assert stay.columns == d.columns
+    stay = [(r["doc_id"], r["text"]) for r in stay.collect()]
+    assert len(stay) == 3 and {(1, a), (5, b)} < set(stay) and sum(i == 7 for i, _ in stay) == 1
+
+
+def test_bands_for_every_similarity():
+    for percent in range(4, 101):
+        rows, bands = neardup.banding(percent)
+        assert rows * bands <= neardup.MOST_HASHES and (1 - (percent / 100) ** rows) ** bands <= neardup.MISS
+    for percent in (0, 1, 3, 101):
+        with pytest.raises(ValueError):
+            neardup.banding(percent)
+
+
 # mixing
 
 
@@ -426,7 +448,6 @@ def test_blocks_find_the_links_of_all_pairs(spark, monkeypatch):
             words[at] = f"x{rng.randrange(6)}"
         texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 1)
     monkeypatch.setattr(neardup, "BLOCK", 7)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, shingle=3, percent=85).collect()}
     sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
