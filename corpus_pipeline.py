@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdnet.llm import decontaminate, languages, mixing, neardup, sharding
-from crowdnet.llm.membership import rows_not_in
 from crowdnet.scratch import Scratch
 
 #: A document stays if its best language is at least this likely.
@@ -28,11 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays: five-word shingles, similarity of 0.8."""
-    found = neardup.near_duplicates(docs, shingle=5, percent=80)
-    gone = Scratch(spark).cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = rows_not_in(docs, "doc_id", gone, prefix="_stage_")
-    ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    return kept if ids.isEmpty() else kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
+    return neardup.without_near_duplicates(docs, shingle=5, percent=80, prefix="_stage_")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
