@@ -299,7 +299,9 @@ def test_repeated_passages(spark, odd_docs, no_docs):
 def shared_passages(a, b):
     cache = words.WordHashes()
     x, y = (passages.shingles_of(" ".join(t), cache) for t in (a, b))
-    return [(s[0], s[1] + passages.SHINGLE - 1) for s in passages.passages_of(x, y, passages.LEAST_SIMILARITY)]
+    (own, _, c, _), (other, *_) = (passages.halves(t, np.array([0]), np.array([len(t)])) for t in (x, y))
+    found, _ = passages.passages_of(x, y, c[np.isin(own, other)], passages.LEAST_SIMILARITY)
+    return sorted((s[0], s[1] + passages.SHINGLE - 1) for s in found)
 
 
 def test_passages_side_by_side_are_found_in_texts(spark):
@@ -339,19 +341,48 @@ def test_a_passage_with_an_edit_near_its_start_is_found_in_texts(spark):
     assert {(r["start_word"], r["stop_word"]) for r in got} == {(40, 100)} and len({r["doc_id"] for r in got}) >= 20
 
 
-def test_exact_repeats_are_found_beside_a_smaller_part(spark):
-    rng = random.Random(64)
-    docs, n = [], 40
-    for k in range(n):
-        p = sentence(rng, 60).split()
-        part = p[:48] if k % 2 else [*p[:14], "zzzzzzzzz", *p[15:40]]
-        docs += [(3 * k + e, " ".join([*sentence(rng, 30).split(), *t, *sentence(rng, 30).split()])) for e, t in enumerate((part, p, p))]
+@pytest.mark.parametrize(("whole", "part"), [(60, 45), (70, 48), (56, 40), (70, 40)])
+def test_exact_repeats_are_found_beside_smaller_parts(spark, whole, part):
+    """Two texts with a passage, and two of smaller ids that hold overlapping parts of it."""
+    rng = random.Random(whole + part)
+    docs = []
+    for k in range(150):
+        p = sentence(rng, whole).split()
+        for j, words_ in enumerate((p[:part], p[-part:], p, p)):
+            docs.append((4 * k + j, " ".join([*sentence(rng, 30).split(), *words_, *sentence(rng, 30).split()])))
     got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    whole = {r["doc_id"] for r in got if (r["start_word"], r["stop_word"], r["similarity"]) == (30, 90, 1)}
-    assert whole == {d for d, _ in docs if d % 3}
+    group = {r["doc_id"]: r["group_id"] for r in got}
+    assert all(4 * k + 2 in group and group[4 * k + 2] == group[4 * k + 3] for k in range(150))
+    assert all(group[4 * k + 2] // 4 == k for k in range(150))
 
 
-# resampling
+def test_repeated_passages_match_brute_force(spark):
+    """Every pair of texts with 50 equal words in a row is in one group, and no text without any is reported."""
+    rng = random.Random(77)
+    pool = [sentence(rng, rng.randrange(50, 90)).split() for _ in range(8)]
+    docs = []
+    for k in range(120):
+        words_ = sentence(rng, rng.randrange(0, 40)).split()
+        for _ in range(rng.randrange(0, 3)):
+            p = rng.choice(pool)
+            at = rng.randrange(0, 20)
+            words_ += p[at : at + rng.randrange(30, 80)] + sentence(rng, rng.randrange(0, 30)).split()
+        docs.append((k, " ".join(words_)))
+    grams_ = {}
+    for k, t in docs:
+        w = t.split()
+        for i in range(len(w) - 49):
+            grams_.setdefault(tuple(w[i : i + 50]), set()).add(k)
+    pairs = {(a, b) for own in grams_.values() for a in own for b in own if a < b}
+    got = passages.repeated_passages(spark.createDataFrame(docs * 2, "doc_id long, text string").withColumns({"key": F.lit(1), "place": F.lit("x")})).collect()
+    group = {r["doc_id"]: r["group_id"] for r in got}
+    assert pairs and all(group.get(a, -1) == group.get(b, -2) for a, b in pairs)
+    for r in got:
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (docs[r["doc_id"]][1].split()[r["start_word"] : r["stop_word"]], docs[r["other_id"]][1].split()[r["other_start"] : r["other_stop"]]))
+        assert len(x & y) >= 0.8 * len(x | y) and r["doc_id"] != r["other_id"]
+
+
+# importance resampling
 
 
 def test_resampling_prefers_texts_like_the_examples(spark, odd_docs, no_docs):
