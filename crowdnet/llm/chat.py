@@ -6,7 +6,8 @@ first character and backslashes are doubled, so no text can open or close a turn
 
 Defined results: a null role or text is the empty string; rows of one conversation are sorted by turn, then role, then
 text (null turns first); rows with a null conversation id form one conversation; repeated rows are repeated turns; an
-empty table gives an empty table; columns other than the four named ones are ignored.
+empty table gives an empty table; columns other than the four named ones are ignored. A conversation is one string in
+the end, so it must fit into a task; what is done before that is linear in it, also where turns are null or equal.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     turns = rows.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chunks = turns.groupBy("c", F.floor(F.col("t") / CHUNK).alias("k")).agg(F.sort_array(F.collect_list(F.struct("t", "role", "text"))).alias("turns"))
     none = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    chunks = chunks.select("c", "k", F.aggregate("turns", none, _merge).alias("blocks"))
+    # equal or null turns are in one chunk, however many there are: each run of CHUNK turns is merged for itself
+    part = lambda p: F.aggregate(F.slice("turns", p * CHUNK + 1, CHUNK), none, _merge)
+    chunks = chunks.select("c", "k", F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.size("turns") / CHUNK).cast("int") - 1), part)).alias("blocks"))
     whole = chunks.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "blocks"))).alias("chunks"))
     whole = whole.select("c", F.flatten(F.transform("chunks", lambda x: x["blocks"])).alias("blocks"))
 
@@ -81,10 +84,30 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(turns)
 
 
+def masked(chats: DataFrame, out: str = "loss") -> DataFrame:
+    """chats with the characters of formatted that loss_runs marks, unescaped and joined in order.
+
+    The formatted text is cut at the runs' counts alone: first into about as many parts as there are runs in each, then
+    at the runs of each part, as a substring is found by counting characters from the start.
+    """
+    names = chats.columns
+    d = chats.withColumn("_k", F.ceil(F.sqrt(F.size("loss_runs"))).cast("int"))
+    d = d.withColumn("_parts", F.transform(F.sequence(F.lit(0), F.ceil(F.size("loss_runs") / F.col("_k")).cast("int") - 1), lambda p: F.slice("loss_runs", p * F.col("_k") + 1, F.col("_k"))))
+    d = d.withColumn("_sizes", F.transform("_parts", lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, r: s + r["chars"])))
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("loss"))
+
+    def cut(text: Column, x: Column) -> Column:
+        step = lambda s, r: F.struct((s["at"] + r["chars"]).cast("int").alias("at"), F.when(r["loss"], F.concat(s["loss"], F.substring(text, s["at"], r["chars"].cast("int")))).otherwise(s["loss"]).alias("loss"))
+        return F.aggregate(x, start, step, lambda s: s["loss"])
+
+    begin = lambda i: F.aggregate(F.slice("_sizes", 1, i), F.lit(1).cast("long"), lambda s, n: s + n).cast("int")
+    d = d.withColumn("_texts", F.transform("_sizes", lambda n, i: F.substring("formatted", begin(i), n.cast("int"))))
+    return d.select(*names, unescape(F.array_join(F.transform("_parts", lambda x, i: cut(F.get("_texts", i), x)), "")).alias(out))
+
+
 def digest(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """What the formatted texts hold, read back from them and from their loss runs."""
-    read = chats.select(F.col(conv), "formatted", read_back(F.col("formatted")).alias("turns"), F.filter("loss_runs", lambda r, i: i % 2 == 1).alias("runs"))
-    read = read.select(conv, "formatted", "turns", F.array_join(F.transform(F.filter(F.arrays_zip("turns", "runs"), lambda z: z["runs"]["loss"]), lambda z: z["turns"]["text"]), "").alias("loss"))
+    """What the formatted texts hold, read back from them, and under their loss masks."""
+    read = masked(chats).select(F.col(conv), "formatted", read_back(F.col("formatted")).alias("turns"), "loss")
     return read.select(
         conv,
         F.size("turns").cast("long").alias("n_turns"),

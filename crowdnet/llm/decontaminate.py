@@ -7,7 +7,7 @@ whole unless the words that the document or the passage shares with the item are
 the threshold.
 
 An item is found in a passage if the best local alignment (match 2, other word or gap -1) reaches least_score of the
-item's own and least_words words match (all words of shorter items).
+item's own and least_words words of the alignment match (all words of shorter items).
 
 Defined results: null or wordless texts and items match nothing; an item with fewer than SEED words is one seed as a
 whole; a null item id is reported as null; repeated items are reported each; repeated rows get equal results; of several
@@ -158,6 +158,27 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, stop
 
 
+def aligned_words(item: np.ndarray, passage: np.ndarray) -> int:
+    """Equal words on the path of a best alignment of the item with the whole passage, which begins and ends with one."""
+    rows = [np.zeros(len(passage) + 1, np.int64)]
+    ramp = np.arange(len(passage) + 1)
+    for w in item:
+        new = np.maximum(rows[-1] - 1, 0)
+        np.maximum(new[1:], rows[-1][:-1] + np.where(passage == w, 2, -1), out=new[1:])
+        rows.append(np.maximum.accumulate(new + ramp) - ramp)
+    j, words = len(passage), 0
+    i = int(np.argmax([r[j] for r in rows]))
+    while i and j and rows[i][j]:
+        equal = item[i - 1] == passage[j - 1]
+        if rows[i][j] == rows[i - 1][j - 1] + (2 if equal else -1):
+            words, i, j = words + int(equal), i - 1, j - 1
+        elif rows[i][j] == rows[i - 1][j] - 1:
+            i -= 1
+        else:
+            j -= 1
+    return words
+
+
 def proposals(index: Index, seeds: np.ndarray, places: np.ndarray, present: np.ndarray, least_score: float, least_words: int) -> dict[int, set[int]]:
     """Where in a text items would start by its seeds; not those with too few words among the text's (present) to match."""
     n = index.first[seeds + 1] - index.first[seeds]
@@ -199,8 +220,7 @@ def find(index: Index, proposed: dict[int, set[int]], ids: np.ndarray, at: np.nd
             if score < 2 * least_score * size:
                 continue
             start = stop - align(item[::-1], passage[:stop][::-1])[1]
-            same = Counter(passage[start:stop].tolist())
-            words = sum(min(n, same[w]) for w, n in counts.items())
+            words = aligned_words(item, passage[start:stop])
             if words >= min(size, least_words):
                 out.append((index.item_ids[i], score / (2 * size), words, int(at[lo + start]), int(at[lo + stop - 1]) + 1))
             spans += [[lo, lo + start], [lo + stop, hi]]

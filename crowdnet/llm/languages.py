@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdnet.llm.words import slices
+from crowdnet.llm.words import slices, unused
 from crowdnet.scratch import Scratch
 
 ORDERS = (4, 3, 2, 1)
 #: Bounds of the training sample and of the model, whatever the size of the corpus.
-TRAIN_DOCS_PER_LANG, KNOWN_WORDS, KNOWN_GRAMS = 2_000, 60_000, 30_000
+TRAIN_DOCS_PER_LANG, KNOWN_WORDS, KNOWN_GRAMS, MOST_LANGS = 2_000, 60_000, 30_000, 200
 FLUSH = 200_000
 CACHED = 200_000
 SMOOTH = 0.5
@@ -140,18 +140,20 @@ def _count(batches):
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_key: Column | None = None, docs_per_lang: int = TRAIN_DOCS_PER_LANG) -> Model:
     """A model of at most docs_per_lang documents of each language, give or take chance, picked by a hash of sample_key.
 
-    The driver gets at most KNOWN_WORDS words and KNOWN_GRAMS n-grams of each order with their counts by language.
+    Of more than MOST_LANGS languages the most frequent are learned, so a dirty column of labels can't fill the driver. The
+    driver gets at most KNOWN_WORDS words and KNOWN_GRAMS n-grams of each order with their counts by language.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}  # a row for each language
+    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    sizes = {r[0]: r[1] for r in counts.limit(MOST_LANGS).collect()}
     if not sizes:
         return Model([], {}, {}, np.zeros((1, 0)))
     langs = sorted(sizes)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / sizes[k])))])
     key = F.pmod(F.xxhash64(sample_key if sample_key is not None else F.col(text), F.lit("train")), F.lit(1_000_003)) / 1_000_003.0
-    picked = labelled.filter(key < F.element_at(share, F.col(lang))).select(text, lang)
+    picked = labelled.filter(key < F.try_element_at(share, F.col(lang))).select(text, lang)
     counts = scratch.cut(picked.mapInArrow(_count, COUNTS).groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")), "counts")
     sums = {(r[0], r[1]): r[2] for r in counts.groupBy("kind", "lang").agg(F.sum("n")).collect()}
     by_gram = scratch.cut(counts.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "n")))).alias("by")), "grams")
@@ -166,7 +168,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_key: Col
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """docs with the best language of each whole text and its posterior."""
+    """docs with the best language of each whole text and its posterior, in place of columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -176,7 +178,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_out: str =
         for part in parts:
             yield pd.DataFrame([scorer.score(t) for t in part], columns=["lang", "score"]).astype({"lang": object, "score": float})
 
-    return docs.withColumn("_langid", predict(F.col(text))).withColumns({lang_out: F.col("_langid.lang"), score_out: F.col("_langid.score")}).drop("_langid")
+    own = unused("langid", docs.columns)
+    return docs.withColumn(own, predict(F.col(text))).withColumns({lang_out: F.col(f"{own}.lang"), score_out: F.col(f"{own}.score")}).drop(own)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -3,12 +3,13 @@
 Every document of a source is repeated a Poisson number of times whose mean is the source's repetition rate
 ``target share * total / documents of the source``. The draw inverts the distribution at a uniform number hashed from
 the seed and the document's id, so it is the same on every run and for every dealing of the rows; copies are exploded
-and sorted by a hash of seed, id and copy, which is a global shuffle.
+and dealt in the order of a hash of seed, id and copy, which is a global shuffle: as the hash is evenly distributed, its
+ranges are known beforehand and no pass over the rows is needed to find them.
 
 Defined results: a null source counts as the empty string; rows with a null id share one draw, and so do repeated rows
 (each is repeated by it); sources without a weight get ``default_weight``, weights of absent sources are ignored; a
-weight of 0 drops a source; an empty table gives an empty table; other columns are carried along, and names that
-clash with the operator's own must be avoided by choosing ``prefix``.
+weight of 0 drops a source; an empty table gives an empty table; other columns are carried along whatever they are called,
+except that columns with the names of the three outputs are replaced (``prefix`` chooses other names).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: A table of rates with more sources than this is joined by a shuffle.
 BROADCAST_SOURCES = 20_000
-HEX = 13
+HEX, KEY_HEX = 13, 15
 
 
 def uniform(*parts: Column) -> Column:
@@ -66,20 +67,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights
     table = rates(docs, source, weights, default_weight, power, total)
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     table = table.withColumn("parts", parts).withColumn("cdf", _cumulated(F.col("rate") / F.col("parts")))
-    table = table.select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "rate", "parts", "cdf")])
+    table = table.select(*[F.col(c).alias(f"mix_{c}") for c in ("source", "rate", "parts", "cdf")])
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    d = docs.join(table, F.coalesce(F.col(source), F.lit("")) == F.col("_mix_source"))
-    drawn = lambda k: F.size(F.filter("_mix_cdf", lambda c: c <= uniform(F.lit(seed), F.col(doc_id), k)))
-    count = F.aggregate(F.sequence(F.lit(0), F.col("_mix_parts") - 1), F.lit(0), lambda s, k: s + drawn(k))
-    u = uniform(F.lit(seed), F.col(doc_id), F.lit(0))
-    d = d.withColumn("_mix_u", u)
-    one = F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u")))
-    d = d.withColumn("_mix_n", F.when(F.col("_mix_parts") == 1, one).otherwise(count)).filter("_mix_n > 0")
-    d = d.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1)))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("_mix_copy"))), 1, 15), 16, 10).cast("long")
-    d = d.withColumn("_mix_key", key).select(*[F.col(c) for c in docs.columns], F.col("_mix_rate").alias(f"{prefix}rate"), F.col("_mix_copy").cast("long").alias(f"{prefix}copy"), F.col("_mix_key").alias(f"{prefix}shuffle_key"))
-    return d.orderBy(f"{prefix}shuffle_key")
+    # the rows go along as one struct, so that none of their names can clash
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    d = d.select("row", F.coalesce(F.col(f"row.`{source}`"), F.lit("")).alias("own_source"), F.col(f"row.`{doc_id}`").alias("id")).join(table, F.col("own_source") == F.col("mix_source"))
+    drawn = lambda k: F.size(F.filter("mix_cdf", lambda c: c <= uniform(F.lit(seed), F.col("id"), k)))
+    count = F.aggregate(F.sequence(F.lit(0), F.col("mix_parts") - 1), F.lit(0), lambda s, k: s + drawn(k))
+    d = d.withColumn("u", uniform(F.lit(seed), F.col("id"), F.lit(0)))
+    one = F.size(F.filter("mix_cdf", lambda c: c <= F.col("u")))
+    d = d.withColumn("n", F.when(F.col("mix_parts") == 1, one).otherwise(count)).filter("n > 0")
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy"))), 1, KEY_HEX), 16, 10).cast("long")
+    made = {f"{prefix}rate": F.col("mix_rate"), f"{prefix}copy": F.col("copy").cast("long"), f"{prefix}shuffle_key": F.col("key")}
+    d = d.withColumn("key", key).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in made], *[c.alias(k) for k, c in made.items()])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = F.floor(F.col(f"{prefix}shuffle_key") / F.lit(float(16**KEY_HEX)) * parts).cast("int")
+    return d.repartitionById(parts, ranges).sortWithinPartitions(f"{prefix}shuffle_key")
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:
@@ -100,6 +105,6 @@ cdf AS (SELECT s, rate, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS c FROM pmf
 u AS (SELECT doc_id, source, text, CAST(CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|0'), 1, {HEX}) AS BIGINT) AS DOUBLE) / {float(16**HEX)} AS u FROM documents),
 n AS (SELECT doc_id, source, text, rate, count(*) FILTER (c <= u) AS n FROM (SELECT row_number() OVER () AS row, * FROM u) d JOIN cdf ON coalesce(d.source, '') = cdf.s GROUP BY row, doc_id, source, text, rate)
 SELECT doc_id, source, text, round(rate, 9) AS rate, CAST(copy AS BIGINT) AS copy,
-  CAST('0x' || substr(md5('17|order|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key
+  CAST('0x' || substr(md5('17|order|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy), 1, {KEY_HEX}) AS BIGINT) AS shuffle_key
 FROM (SELECT *, unnest(range(n)) AS copy FROM n)
 """

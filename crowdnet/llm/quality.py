@@ -22,6 +22,8 @@ SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 SKETCH_BITS = 6
 LEAST_ROWS = 100
+#: Groups whose fences are broadcast, and the parts that a group is joined in if there are more.
+BROADCAST_GROUPS, SALTS = 20_000, 64
 #: A fence stands this many inter-quartile ranges above the upper quartile (and below the lower one for "both").
 FENCE = 3
 #: Measure: (numerator, denominator, scale, least inter-quartile range in that scale, tail).
@@ -95,6 +97,18 @@ def _names() -> list[str]:
     return [f"{k}_{side}" for k, m in MEASURES.items() for side in (("upper", "lower") if m[4] == "both" else ("upper",))]
 
 
+def _with_fences(measured: DataFrame, table: DataFrame) -> DataFrame:
+    """measured with the fences of each row's group, without shuffling a large group into one task.
+
+    Up to BROADCAST_GROUPS groups are broadcast; more of them are joined by a shuffle in which every group is SALTS parts.
+    """
+    table = Scratch(measured.sparkSession).cut(table, "fences")
+    if table.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return measured.join(F.broadcast(table), ["lang", "source"], "left")
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "source", "salt"], "left").drop("salt")
+
+
 def judge(measured: DataFrame) -> DataFrame:
     """measured with kept: false for base failures and for documents beyond a fence of their group."""
     # written first: a filter on a measure would otherwise be pushed below the projections that make it
@@ -105,7 +119,7 @@ def judge(measured: DataFrame) -> DataFrame:
     table = ren(near, "a").join(ren(wide, "b"), "lang").crossJoin(F.broadcast(ren(all_, "c")))  # the last has one row at most
     chosen = [F.when(F.col("a_total") >= LEAST_ROWS, F.col(f"a_{c}")).when(F.col("b_total") >= LEAST_ROWS, F.col(f"b_{c}")).otherwise(F.col(f"c_{c}")).alias(c) for c in _names()]
     table = table.select("lang", "source", *chosen)
-    d = measured.join(table, ["lang", "source"], "left")
+    d = _with_fences(measured, table)
     fine = F.lit(True)
     for k, m in MEASURES.items():
         fine = fine & F.coalesce(_value(*m[:3]) <= F.col(f"{k}_upper"), F.lit(True))

@@ -6,9 +6,9 @@ log p_target - log p_raw over its n-grams; with ``center``, the mean of that log
 off for each n-gram, so that a long text isn't preferred for its length alone. Adding Gumbel noise hashed from the id
 and keeping the share with the largest sums draws a sample without replacement in proportion to the weights.
 
-Defined results: a null or blank text has no n-grams and log weight 0; without examples all log weights are 0; ties at
-the last place are broken by id, then arbitrarily among repeated rows; rows with a null id share one noise; an empty
-table gives an empty table; columns other than the named ones are ignored.
+Defined results: a null or blank text has no n-grams and log weight 0; without examples all log weights are 0; of rows
+tied at the last place, as repeated rows are, as many as needed are taken in the order of the written table; rows with a
+null id share one noise; an empty table gives an empty table; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crowdnet.llm.mixing import uniform
-from crowdnet.llm.words import U64, WordHashes, ascii_words, grams, slices
+from crowdnet.llm.words import U64, WordHashes, ascii_words, grams, slices, unused
 from crowdnet.scratch import Scratch
 
 BUCKETS = 1 << 18
@@ -56,12 +56,13 @@ def fit(docs: DataFrame, examples: DataFrame, doc_id: str = "doc_id", text: str
 
     The driver gets one row for each bucket at most.
     """
-    ids = examples.select(F.col(doc_id).alias("_id")).filter("_id IS NOT NULL").distinct()
+    ids = examples.select(F.col(doc_id).alias("example")).filter("example IS NOT NULL").distinct()
     n = ids.count()
     if n > limit:
-        ids = ids.filter(F.pmod(F.xxhash64("_id", F.lit("example")), F.lit(1_000_003)) < int(1_000_003 * limit / n))
-    marked = docs.join(F.broadcast(ids.withColumn("_example", F.lit(True))), docs[doc_id] == F.col("_id"), "left")  # about limit ids
-    counts = marked.select(text, F.coalesce("_example", F.lit(False)).alias("e")).mapInArrow(_counts, "bucket int, raw long, target long")
+        ids = ids.filter(F.pmod(F.xxhash64("example", F.lit("example")), F.lit(1_000_003)) < int(1_000_003 * limit / n))
+    own = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id"))
+    marked = own.join(F.broadcast(ids), F.col("id") == F.col("example"), "left")  # about limit ids
+    counts = marked.select("text", F.col("example").isNotNull().alias("e")).mapInArrow(_counts, "bucket int, raw long, target long")
     got = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = got.column("bucket").to_numpy()
@@ -91,29 +92,33 @@ def weigh(docs: DataFrame, table: np.ndarray, doc_id: str = "doc_id", text: str
 def top_share(weighed: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """weighed with gumbel_key and selected: the floor(share * rows) rows with the largest keys.
 
-    The key of the last row is found from counts by whole numbers, then by millionths within one of them.
+    The key of the last row is found from counts of its digits, three times, and then of the places of rows in the table
+    that the keys are written to, so no task sorts rows and ties of any number are cut where they must be.
     """
     noise = -F.log(-F.log(F.greatest(uniform(F.lit(seed), F.col("doc_id")), F.lit(1e-16))))
-    d = Scratch(weighed.sparkSession).cut(weighed.withColumn("gumbel_key", F.round(F.col("log_weight") + noise, 9)), "keys")
-    whole, part = F.floor("gumbel_key"), F.floor((F.col("gumbel_key") - F.floor("gumbel_key")) * 1_000_000)
-
-    def last(rows: DataFrame, level, k: int) -> tuple[int | None, int]:
-        """The level of the k-th row from above, and how many rows stand above that level."""
-        counts = rows.groupBy(level.alias("v")).agg(F.count("*").alias("n"))
-        seen = counts.withColumn("above", F.sum("n").over(Window.orderBy(F.desc("v"))) - F.col("n"))
-        found = seen.filter((F.col("above") < k) & (F.col("above") + F.col("n") >= k)).first()
-        return (found["v"], found["above"]) if found else (None, 0)
-
+    keyed = weighed.withColumn("gumbel_key", F.round(F.col("log_weight") + noise, 9))
+    own = unused("row", keyed.columns)
+    d = Scratch(weighed.sparkSession).cut(keyed.withColumn(own, F.monotonically_increasing_id()), "keys")
+    whole = F.floor("gumbel_key")
+    units = F.round((F.col("gumbel_key") - whole) * 1_000_000_000).cast("long")
+    # the part and the place in it of the row, negated as the first ones are taken
+    part, place = -F.shiftright(own, 33), -F.col(own).bitwiseAND(F.lit((1 << 33) - 1))
+    levels = [whole, F.floor(units / 100_000), units % 100_000, part, F.floor(place / 100_000), F.pmod(place, F.lit(100_000))]
     k = int(share * d.count())
-    v, above = last(d, whole, k)
-    if v is None:
-        return d.withColumn("selected", F.lit(False) if k <= 0 else F.lit(True))
-    within = d.filter(whole == v)
-    w, more = last(within, part, k - above)
-    tied = within.filter(part == w).withColumn("_place", F.row_number().over(Window.orderBy(F.desc("gumbel_key"), "doc_id")))  # rows equal to a millionth
-    tied = tied.withColumn("selected", F.col("_place") <= k - above - more).drop("_place")
-    rest = d.filter((whole != v) | (part != w)).withColumn("selected", (whole > v) | ((whole == v) & (part > w)))
-    return rest.union(tied)
+    if k <= 0:
+        return d.withColumn("selected", F.lit(False)).drop(own)
+    rows, chosen, tied = d, F.lit(False), F.lit(True)
+    for level in levels:
+        counts = rows.groupBy(level.alias("v")).agg(F.count("*").alias("n"))
+        seen = counts.withColumn("above", F.sum("n").over(Window.orderBy(F.desc("v"))) - F.col("n"))  # one row for each level
+        v, n, above = seen.filter((F.col("above") < k) & (F.col("above") + F.col("n") >= k)).select("v", "n", "above").first()
+        k -= above
+        chosen = chosen | (tied & (level >= v if n == k else level > v))
+        if n == k:
+            break
+        tied = tied & (level == v)
+        rows = rows.filter(level == v)
+    return d.withColumn("selected", chosen).drop(own)
 
 
 def op9_resample(spark, sf_dir: str) -> DataFrame:

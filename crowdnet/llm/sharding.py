@@ -8,7 +8,8 @@ the sizes of groups take part; which part of a bin goes where is a small table t
 
 Defined results: a null text has size 1, like an empty one, but is a group of its own; repeated rows are in one shard
 and get slots of their own; rows with a null id are dealt by their text like all others; with fewer groups than shards
-some shards stay empty; an empty table gives an empty table; other columns are carried along by ``shard_rows``.
+some shards stay empty; an empty table gives an empty table; other columns are carried along by ``shard_rows`` whatever
+they are called, except that one with the name of the output is replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from crowdnet.scratch import Scratch
 BIN = 16_384
 #: Rows in one run of slots.
 RUN = 50_000
+#: Groups of more rows than this, and than one in HOT_GROUPS of all rows, are joined by a broadcast of HOT_GROUPS rows at most.
+HOT, HOT_GROUPS = 50_000, 10_000
 
 
 def karmarkar_karp(sizes: list[list[int]]) -> list[list[int]]:
@@ -114,37 +117,59 @@ def assign_groups(groups: DataFrame, shards: int, scratch: Scratch) -> DataFrame
     return d.select("k1", "k2", "bin", "part").join(place.select("bin", "part", "shard"), ["bin", "part"]).select("k1", "k2", F.col("shard").cast("int").alias("shard"))
 
 
-def shard_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = 8, scratch: Scratch | None = None) -> DataFrame:
-    """docs with _shard, the shard of the row's group of equal texts; sizes are bytes of the text plus 1."""
-    scratch = scratch or Scratch(docs.sparkSession)
-    groups = docs.select(*text_key(F.col(text)), size_of(F.col(text)).alias("size")).groupBy("k1", "k2").agg(F.sum("size").alias("size"))
-    place = assign_groups(scratch.cut(groups, "groups"), shards, scratch).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("shard").alias("_shard"))
-    k1, k2 = text_key(F.col(text))
-    return docs.withColumns({"_g1": k1, "_g2": k2}).join(place, (F.col("_g1") == F.col("_k1")) & (F.col("_g2") == F.col("_k2"))).drop("_g1", "_g2", "_k1", "_k2")
+def with_shards(rows: DataFrame, groups: DataFrame, shards: int, scratch: Scratch, out: str) -> DataFrame:
+    """rows(k1, k2, ...) with the shard of their group (k1, k2, size, n); rows must be a table that is cheap to read twice."""
+    place = scratch.cut(groups.join(assign_groups(groups.select("k1", "k2", "size"), shards, scratch), ["k1", "k2"]).select("k1", "k2", "n", F.col("shard").alias(out)), "place")
+    most = max(HOT, place.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_GROUPS)
+    hot = place.filter(F.col("n") > most).drop("n")
+    place = place.filter(F.col("n") <= most).drop("n")
+    if hot.isEmpty():
+        return rows.join(place, ["k1", "k2"])
+    hot = F.broadcast(hot)  # HOT_GROUPS rows at most
+    return rows.join(hot, ["k1", "k2"], "left_anti").join(place, ["k1", "k2"]).unionByName(rows.join(hot, ["k1", "k2"]))
 
 
-def with_slots(rows: DataFrame, shard: str, doc_id: str, slot: str, scratch: Scratch) -> DataFrame:
-    """rows with gapless slots from 0 in each shard.
+def shard_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = 8, scratch: Scratch | None = None, out: str = "_shard", slot: str | None = None) -> DataFrame:
+    """docs with out, the shard of the row's group of equal texts, and slot, its place in the shard, if that is named.
 
-    A shard's rows are dealt by a hash of their id into runs of about RUN rows; a run starts where those before it end.
+    Sizes are bytes of the text plus 1. The rows go along as one struct, so that none of their names can clash.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    names = [c for c in docs.columns if c not in (out, slot)]
+    col = lambda c: F.col(f"row.`{c}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", *text_key(col(text)), size_of(col(text)).alias("size"), col(doc_id).alias("id"))
+    groups = scratch.cut(rows.groupBy("k1", "k2").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "groups")
+    placed = with_shards(rows, groups, shards, scratch, "shard")
+    if slot is not None:
+        placed = with_slots(scratch.cut(placed.select("row", "id", "shard").withColumn("place", F.monotonically_increasing_id()), "placed"), shards)
+    return placed.select(*[col(c).alias(c) for c in names], F.col("shard").alias(out), *([F.col("slot").alias(slot)] if slot else []))
+
+
+def with_slots(rows: DataFrame, shards: int) -> DataFrame:
+    """rows(id, shard, place, ...) with slot, gapless from 0 in each shard; place is another number for each row.
+
+    A shard's rows are dealt by a hash of their place into runs of about RUN rows, in which they are ordered by id; a run
+    starts where those before it end.
     """
-    runs = max(1, -(-rows.count() // (8 * RUN)))
-    d = rows.withColumn("_run", F.pmod(F.xxhash64(F.col(doc_id), F.lit("slot")), F.lit(runs)))
-    sizes = d.groupBy(shard, "_run").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(shard).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(F.col(shard).alias("_s"), F.col("_run").alias("_r"), F.coalesce(before, F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy(shard, "_run").orderBy(doc_id)) - 1
-    d = d.withColumn("_own", own).join(starts, (F.col(shard) == F.col("_s")) & (F.col("_run") == F.col("_r")))
-    return d.withColumn(slot, (F.col("_start") + F.col("_own")).cast("long")).drop("_run", "_own", "_s", "_r", "_start")
+    runs = max(1, -(-rows.count() // (shards * RUN)))
+    d = rows.withColumn("run", F.pmod(F.xxhash64("place", F.lit("slot")), F.lit(runs)))
+    sizes = d.groupBy("shard", "run").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("shard", "run", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("shard", "run").orderBy("id", "place")) - 1
+    d = d.withColumn("own", own).join(starts, ["shard", "run"])
+    return d.withColumn("slot", (F.col("start") + F.col("own")).cast("long")).drop("run", "own", "start", "place")
 
 
 def op10_shard(spark, sf_dir: str) -> DataFrame:
     """Law: bytes, as near equal as indivisible groups of equal texts allow."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scratch = Scratch(spark)
-    k1, k2 = text_key(F.col("text"))
-    rows = scratch.cut(docs.select("doc_id", size_of(F.col("text")).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), k1, k2), "sizes")
-    groups = scratch.cut(rows.groupBy("k1", "k2").agg(F.sum("size").alias("size")), "groups")
-    placed = scratch.cut(rows.join(assign_groups(groups, 8, scratch), ["k1", "k2"]).select("doc_id", "size", "text_crc32", "shard"), "placed")
-    out = with_slots(placed, "shard", "doc_id", "slot", scratch)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    text = F.col("text")
+    # digests in place of texts: what is read more than once is written first
+    rows = scratch.cut(docs.select(F.col("doc_id").alias("id"), size_of(text).alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"), *text_key(text)), "sizes")
+    groups = scratch.cut(rows.groupBy("k1", "k2").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "groups")
+    placed = scratch.cut(with_shards(rows, groups, 8, scratch, "shard").select("id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("place")), "placed")
+    out = with_slots(placed, 8)
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -97,13 +97,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     light = raw.select("file", "block", "row", "size", "head_size", "length").withColumn("inside", F.coalesce(in_split, F.lit(0)))
     light = light.join(splits, ["file", "block"]).withColumn("at", F.col("start") + F.col("inside") - len(MAGIC))
     ends = F.col("at") + len(MAGIC) + F.col("head_size") + len(GAP) - 2 + F.col("length")
-    light = light.select("file", "row", "at", "size", ends.alias("content_end"), (ends + len(GAP)).alias("next"))
+    light = light.select("file", "block", "row", "at", "size", ends.alias("content_end"), (ends + len(GAP)).alias("next"))
     light = scratch.cut(light, "offsets")
 
     kept = scratch.cut(_reachable(light.select("file", "at", "next"), scratch), "records")
     cut_off = light.groupBy("file").agg(F.max(F.col("at") + F.col("size")).alias("file_end"))
     marks = light.join(kept.withColumn("kept", F.lit(True)), ["file", "at"], "left").join(cut_off, "file")
-    marks = marks.withColumn("owner", F.last(F.when(F.col("kept"), F.struct("at", "row", "content_end")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at")))
+    marks = scratch.cut(marks.withColumn("mark", F.when(F.col("kept"), F.struct("at", "row", "content_end"))), "marks")
+    # the record before a piece is in its own split, or else the last one of a split before that: a row for each split
+    lasts = marks.groupBy("file", "block").agg(F.max("mark").alias("last"))
+    earlier = F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    lasts = lasts.select("file", "block", earlier.alias("earlier"))
+    inside = F.last("mark", ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("at"))
+    marks = marks.withColumn("inside", inside).join(lasts, ["file", "block"]).withColumn("owner", F.coalesce("inside", "earlier"))
     held = F.col("owner").isNotNull() & (F.col("owner.content_end") <= F.col("file_end"))
     alone = F.coalesce(held & (F.col("owner.row") == F.col("row")) & (F.col("content_end") <= F.col("at") + F.col("size")), F.lit(False))
     # pieces that aren't a record with its whole payload: owner_row is null for those that belong to no record

@@ -73,3 +73,11 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def list_column(values: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.ListArray:
     """A list column from all values in order and the size of each list."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, kind))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

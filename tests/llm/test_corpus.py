@@ -57,6 +57,22 @@ def test_chat_round_trip(spark):
     assert d["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for c, _, r, t in turns if c == 1).encode()).hexdigest()
     assert (d["n_turns"], d["loss_chars"]) == (5, len("[INST] \\\\ é😀 <|"))
     assert chat.format_chats(df.filter("conv_id = 99")).count() == 0
+    # the loss text is cut from the formatted one by the runs' counts: shifted runs give another text
+    moved = chats.withColumn("loss_runs", F.transform("loss_runs", lambda r, i: F.struct((r["chars"] + F.when(i == 0, 1).otherwise(0)).alias("chars"), r["loss"].alias("loss"))))
+    assert {r["conv_id"]: r for r in chat.digest(moved).collect()}[1]["loss_sha256"] != d["loss_sha256"]
+
+
+def test_long_conversations_and_equal_turns(spark):
+    rng = random.Random(4)
+    turns = [(1, k, rng.choice(["user", "assistant"]), f"é{k}\\ <|end|> 😀") for k in range(400)] + [(2, None, "assistant", f"t{k:03}") for k in range(150)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(df)
+    got = {r["conv_id"]: r for r in chat.masked(chats).withColumn("turns", chat.read_back(F.col("formatted"))).collect()}
+    for c in (1, 2):
+        own = [(r, t) for k, _, r, t in turns if k == c]
+        assert [(t["role"], t["text"]) for t in got[c]["turns"]] == own
+        assert got[c]["loss"] == "".join(t for r, t in own if r == "assistant")
+    assert got[2]["formatted"].count(chat.TURN) == 1
 
 
 # languages
@@ -71,6 +87,9 @@ def test_languages_on_held_out_rows_and_odd_cases(spark, odd_docs, no_docs):
     assert all(r["lang_pred"] == {"b": "b", "a": "a"}[r["lang"]] and 0.99 < r["score"] <= 1 for r in got)
     odd = {r["doc_id"]: r for r in languages.identify(odd_docs, model).collect()}
     assert all(odd[k]["lang_pred"] == "und" and odd[k]["score"] == 0 for k in (22, 23, 24, 27)) and odd[0]["label"] is not None
+    hostile = d.withColumns({"_langid": F.lit(5), "langid": F.lit(6), "lang_pred": F.lit("mine")})
+    r = languages.identify(hostile, model).first()
+    assert (r["_langid"], r["langid"]) == (5, 6) and r["lang_pred"] in ("a", "b")
     empty = languages.fit(no_docs)
     assert {r["lang_pred"] for r in languages.identify(odd_docs, empty).collect()} == {"und"}
 
@@ -84,10 +103,30 @@ def test_language_scores_match_a_plain_loop():
     assert (lang, round(score, 9)) == ("xy"[int(total.argmax())], round(float(want.max()), 9))
 
 
+def test_a_fitted_model_matches_plain_counts(spark, monkeypatch):
+    rows = [(0, "Foo foo bar", "x"), (1, "foo qux qux", "y"), (2, "bar Bar", "y"), (3, "zzz", "rare"), (4, None, "x"), (5, "foo", None), (6, "foo", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(languages, "MOST_LANGS", 2)
+    model = languages.fit(d)
+    assert model.langs == ["x", "y"]
+    seen = {lang: " ".join(t.lower() for _, t, k in rows if k == lang and t).split() for lang in "xy"}
+    counts = {w: [seen[lang].count(w) for lang in "xy"] for w in ("foo", "bar", "qux")}
+    assert set(model.ids) == set(counts)
+    for w, n in counts.items():
+        want = [np.log((n[k] + 0.5) / (len(seen[lang]) + 0.5 * (len(counts) + 1))) for k, lang in enumerate("xy")]
+        assert np.allclose(model.table[model.ids[w]], want)
+    grams_ = {lang: [g for w in seen[lang] for g in languages.grams_of(w, 3)] for lang in "xy"}
+    known = {g for lang in "xy" for g in grams_[lang] if sum(grams_[k].count(g) for k in "xy") >= 2}
+    assert set(model.grams[3]) == known
+    for g in known:
+        want = [np.log((grams_[lang].count(g) + 0.5) / (len(grams_[lang]) + 0.5 * (len(known) + 1))) for lang in "xy"]
+        assert np.allclose(model.table[model.grams[3][g]], want)
+
+
 # quality
 
 
-def test_quality_measures_match_brute_force(spark, odd_docs, no_docs):
+def test_quality_measures_match_brute_force(spark, odd_docs, no_docs, monkeypatch):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("the of a in $x") for _ in range(n)) + "\nline\nline\n \nline" for n in (0, 1, 2, 3, 4, 60, 200)] + ["a b c a b c", "x " * 70, "a b c d\na b c"]
     d = spark.createDataFrame([(i, t, "l", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
@@ -102,6 +141,9 @@ def test_quality_measures_match_brute_force(spark, odd_docs, no_docs):
     odd = quality.judge(quality.measure(odd_docs))
     assert odd.count() == odd_docs.count() and odd.filter("kept IS NULL").count() == 0
     assert quality.judge(quality.measure(no_docs)).count() == 0
+    want = sorted(map(tuple, odd.select("doc_id", "n_words", "kept").collect()), key=str)
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 1)
+    assert sorted(map(tuple, quality.judge(quality.measure(odd_docs)).select("doc_id", "n_words", "kept").collect()), key=str) == want
 
 
 # decontamination
@@ -152,6 +194,12 @@ def test_alignment_matches_the_full_table():
         assert decontaminate.align(a, b)[0] == h.max()
 
 
+def test_aligned_words_are_counted_on_the_path():
+    assert decontaminate.aligned_words(np.array([1, 2, 3, 4]), np.array([1, 2, 9, 3, 4])) == 4
+    assert decontaminate.aligned_words(np.array([1, 2, 3, 4, 5]), np.array([1, 2, 8, 4, 5])) == 4
+    assert decontaminate.aligned_words(np.array([5, 1, 2, 3, 7]), np.array([1, 2, 3])) == 3
+
+
 # near duplicates
 
 
@@ -242,6 +290,13 @@ def test_mixing_means_and_odd_rows(spark, odd_docs, no_docs):
     many = mixing.mix(d.limit(50), weights={}, total=50 * 200)
     assert abs(many.count() - 10_000) < 500  # rates above PART
     assert set(odd_docs.columns) < set(mixing.mix(odd_docs).columns) and mixing.mix(no_docs).count() == 0
+    hostile = odd_docs.withColumns({c: F.lit(103) for c in ("_mix_n", "mix_source", "n", "u", "key", "row", "id", "own_source", "rate", "copy", "_mix_u")})
+    got = mixing.mix(hostile, seed=2, prefix="p_")
+    assert got.columns == [*hostile.columns, "p_rate", "p_copy", "p_shuffle_key"] and got.filter("_mix_n <> 103 OR n <> 103 OR rate <> 103 OR key <> 103").count() == 0
+    plain = mixing.mix(odd_docs, seed=2)
+    assert sorted(map(str, got.select(*plain.columns[:-3], "p_copy").collect())) == sorted(str(r).replace(", copy=", ", p_copy=") for r in plain.drop("rate", "shuffle_key").collect())
+    keys = [r["shuffle_key"] for r in out.collect()]
+    assert keys == sorted(keys)
 
 
 # WARC
@@ -398,6 +453,33 @@ def test_resampling_prefers_texts_like_the_examples(spark, odd_docs, no_docs):
     odd = resample.top_share(resample.weigh(odd_docs, resample.fit(odd_docs, good)), 0.5).collect()
     assert sum(r["selected"] for r in odd) == odd_docs.count() // 2
     assert resample.top_share(resample.weigh(no_docs, resample.fit(no_docs, good)), 0.5).count() == 0
+    hostile = d.withColumns({c: F.lit(True) for c in ("_id", "_example", "example", "id", "e")})
+    assert np.array_equal(resample.fit(hostile, good), resample.fit(d, good))
+    same = spark.createDataFrame([(None, "x y")] * 40 + [(1, "x y")] * 37, "doc_id long, text string").repartition(5)
+    out = resample.top_share(resample.weigh(same, np.zeros(resample.BUCKETS)), 0.6).collect()
+    kept = [r["gumbel_key"] for r in out if r["selected"]]
+    assert len(kept) == int(0.6 * 77) and sorted(kept, reverse=True) == sorted((r["gumbel_key"] for r in out), reverse=True)[: len(kept)]
+
+
+def test_log_weights_match_plain_counts(spark):
+    rows = [(0, "a b a"), (1, "b c"), (2, "c a b"), (3, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    good = spark.createDataFrame([(0,), (2,)], "doc_id long")
+    cache = words.WordHashes()
+    own = {i: resample.buckets_of(t, cache) for i, t in rows}
+    raw, target = np.zeros(resample.BUCKETS), np.zeros(resample.BUCKETS)
+    for i, x in own.items():
+        np.add.at(raw, x, 1)
+        if i in (0, 2):
+            np.add.at(target, x, 1)
+    p, q = (v + resample.SMOOTH for v in (target, raw * target.sum() / raw.sum()))
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    for center in (False, True):
+        table = resample.fit(d, good, center=center)
+        want = ratio - (p / p.sum() * ratio).sum() * center
+        assert np.allclose(table, want)
+        got = {r["doc_id"]: (r["n_grams"], r["log_weight"]) for r in resample.weigh(d, table).collect()}
+        assert all(got[i][0] == len(x) and np.isclose(got[i][1], want[x].sum()) for i, x in own.items())
 
 
 # sharding
@@ -412,9 +494,7 @@ def test_karmarkar_karp_is_tight_and_whole(spark, odd_docs, no_docs, monkeypatch
     monkeypatch.setattr(sharding, "BIN", 16)
     monkeypatch.setattr(sharding, "RUN", 10)
     d = spark.createDataFrame([(i, "x" * s) for i, s in enumerate(sizes[:300])] + [(900 + k, "y" * 50) for k in range(4)], "doc_id long, text string")
-    from crowdnet.scratch import Scratch
-
-    out = sharding.with_slots(sharding.shard_rows(d), "_shard", "doc_id", "slot", Scratch(spark)).collect()
+    out = sharding.shard_rows(d, slot="slot").collect()
     by = {}
     for r in out:
         by.setdefault(r["_shard"], []).append(r)
@@ -422,7 +502,16 @@ def test_karmarkar_karp_is_tight_and_whole(spark, odd_docs, no_docs, monkeypatch
     assert len(out) == 304 and max(totals) - min(totals) < 0.02 * sum(totals) / 8
     assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
     assert len({r["_shard"] for r in out if r["doc_id"] >= 900}) == 1
-    assert sharding.shard_rows(odd_docs).count() == odd_docs.count() and sharding.shard_rows(no_docs).count() == 0
+    assert sharding.shard_rows(no_docs, slot="slot").count() == 0
+    monkeypatch.setattr(sharding, "HOT", 2)
+    monkeypatch.setattr(sharding, "HOT_GROUPS", 10**9)
+    hostile = odd_docs.withColumns({c: F.lit(-5) for c in ("k1", "k2", "row", "id", "size", "n", "run", "place", "own", "bin", "_g1", "_k1")})
+    got = sharding.shard_rows(hostile.union(hostile.limit(3)), shards=3, slot="slot")
+    assert got.columns == [*hostile.columns, "_shard", "slot"] and got.filter("k1 <> -5 OR n <> -5 OR place <> -5").count() == 0
+    got = got.collect()
+    assert len(got) == odd_docs.count() + 3 and {r["_shard"] for r in got} <= {0, 1, 2}
+    for text in {r["text"] for r in got if r["text"] is not None}:
+        assert len({r["_shard"] for r in got if r["text"] == text}) == 1
 
 
 # pipeline
