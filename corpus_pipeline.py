@@ -44,11 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with shard and slot; copies of a text are in one shard."""
-    scratch = Scratch(spark)
-    placed = scratch.cut(sharding.shard_rows(docs, shards=SHARDS, scratch=scratch), "placed")
-    out = sharding.with_slots(placed, "_shard", "doc_id", "_slot", scratch)
-    own = [c for c in docs.columns if c not in ("shard", "slot")]
-    return out.select(*own, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    return sharding.shard_rows(docs, shards=SHARDS, out="shard", slot="slot")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mix", mix), ("shards", shards)]
