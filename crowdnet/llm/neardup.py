@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crowdnet.llm.membership import rows_in, rows_maybe_in, rows_not_in
-from crowdnet.llm.words import U64, WordHashes, ascii_words, list_column, mix64, shingle_set, slices
+from crowdnet.llm.words import U64, list_column, mix64, shingle_sets, slices
 from crowdnet.operators.components import components
 from crowdnet.scratch import Scratch
 
@@ -84,11 +84,10 @@ def minima(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 def _features(shingle: int, rows: int, bands: int):
     def run(batches):
-        cache = WordHashes()
         n = hashes(rows, bands)
         salts = mix64(np.arange(1, bands + 1, dtype=U64))
         for batch in slices(batches):
-            sets = [shingle_set(ascii_words(t), shingle, cache) for t in batch.column(2).to_pylist()]
+            sets = shingle_sets(batch.column(2), shingle)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             keys, signs = np.empty((0, bands), U64), np.empty((0, n), np.uint8)
@@ -127,9 +126,8 @@ def _sets(shingle: int):
     """From (node, d1, d2, text) to (node, shingles) of the texts whose set is the one asked for."""
 
     def run(batches):
-        cache = WordHashes()
         for batch in slices(batches):
-            sets = [shingle_set(ascii_words(t), shingle, cache) for t in batch.column(3).to_pylist()]
+            sets = shingle_sets(batch.column(3), shingle)
             d1, d2 = digests(sets)
             same = np.flatnonzero((d1 == batch.column(1).to_numpy()) & (d2 == batch.column(2).to_numpy())).tolist()
             own = [sets[i] for i in same]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crowdnet.llm.mixing import uniform
-from crowdnet.llm.words import U64, WordHashes, ascii_words, grams, slices, unused
+from crowdnet.llm.words import U64, grams, slices, unused, word_hashes
 from crowdnet.scratch import Scratch
 
 BUCKETS = 1 << 18
@@ -31,22 +31,21 @@ EXAMPLES = 50_000
 SHARE = 0.75
 
 
-def buckets_of(text: str | None, cache: WordHashes) -> np.ndarray:
-    words = ascii_words(text)
-    if not words:
-        return np.empty(0, np.int64)
-    h = cache.of(words)
-    return (np.concatenate([grams(h, 1), grams(h, 2)]) & U64(BUCKETS - 1)).astype(np.int64)
+def buckets_of(texts: pa.Array) -> list[np.ndarray]:
+    """The buckets of the words and of the pairs of words of each text."""
+    h, at = word_hashes(texts)
+    one, two = ((grams(h, n) & U64(BUCKETS - 1)).astype(np.int64) for n in (1, 2))
+    return [np.concatenate([one[a:b], two[a : max(a, b - 1)]]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def _counts(batches):
-    cache, raw, target = WordHashes(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for b in slices(batches):
-        for text, example in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = buckets_of(text, cache)
-            np.add.at(raw, own, 1)
-            if example:
-                np.add.at(target, own, 1)
+        own = buckets_of(b.column(0))
+        raw += np.bincount(np.concatenate(own), minlength=BUCKETS)
+        examples = [x for x, e in zip(own, b.column(1).to_pylist(), strict=True) if e]
+        if examples:
+            target += np.bincount(np.concatenate(examples), minlength=BUCKETS)
     at = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
@@ -81,9 +80,9 @@ def weigh(docs: DataFrame, table: np.ndarray, doc_id: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float64))
 
     def score(batches):
-        cache, own = WordHashes(), shared.value
+        own = shared.value
         for b in slices(batches):
-            found = [buckets_of(t, cache) for t in b.column(1).to_pylist()]
+            found = buckets_of(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([float(own[x].sum()) for x in found], pa.float64())], names=["doc_id", "n_grams", "log_weight"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, "doc_id long, n_grams long, log_weight double")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,8 +353,7 @@ def test_repeated_passages(spark, odd_docs, no_docs):
 
 
 def shared_passages(a, b):
-    cache = words.WordHashes()
-    x, y = (passages.shingles_of(" ".join(t), cache) for t in (a, b))
+    x, y = words.text_grams(pa.array([" ".join(t) for t in (a, b)]), passages.SHINGLE)
     (own, _, c, _), (other, *_) = (passages.halves(t, np.array([0]), np.array([len(t)])) for t in (x, y))
     found, _ = passages.passages_of(x, y, c[np.isin(own, other)], passages.LEAST_SIMILARITY)
     return sorted((s[0], s[1] + passages.SHINGLE - 1) for s in found)
@@ -465,8 +465,7 @@ def test_log_weights_match_plain_counts(spark):
     rows = [(0, "a b a"), (1, "b c"), (2, "c a b"), (3, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     good = spark.createDataFrame([(0,), (2,)], "doc_id long")
-    cache = words.WordHashes()
-    own = {i: resample.buckets_of(t, cache) for i, t in rows}
+    own = dict(zip([i for i, _ in rows], resample.buckets_of(pa.array([t for _, t in rows])), strict=True))
     raw, target = np.zeros(resample.BUCKETS), np.zeros(resample.BUCKETS)
     for i, x in own.items():
         np.add.at(raw, x, 1)
@@ -539,11 +538,20 @@ def test_pipeline_stages(spark, odd_docs, no_docs, tmp_path):
     assert {"shard", "slot"} <= set(seen.columns)
 
 
-def test_word_hashes_forget_but_agree(monkeypatch):
-    monkeypatch.setattr(words, "CACHED_WORDS", 3)
-    cache = words.WordHashes()
-    w = [b"a", b"b", b"c", b"d", b"a"]
-    assert cache.of(w)[0] == cache.of(w)[4] == words.WordHashes().of([b"a"])[0]
+def test_word_hashes_match_plain_splitting(monkeypatch):
+    rng = random.Random(8)
+    texts = ["", None, "a", " A  b\tc ", "Éa é\u00a0x\x0b\x0cy", "long" * 50] + ["".join(rng.choice("abAB \n\t\u20ac") for _ in range(rng.randrange(60))) for _ in range(200)]
+    for size in (2_000_000, 7):
+        monkeypatch.setattr(words, "BYTES_IN_BATCH", size)
+        for column in (pa.array(texts), pa.array(["zz zz", *texts, "z"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+            h, at = words.word_hashes(column)
+            want = [(t or "").encode().lower().split() for t in texts]
+            assert np.diff(at).tolist() == [len(w) for w in want]
+            flat = [w for own in want for w in own]
+            by_word = dict(zip(flat, h.tolist(), strict=True))
+            assert [by_word[w] for w in flat] == h.tolist() and len(set(by_word.values())) == len(by_word)
+    sets = words.shingle_sets(pa.array(["a b c", "a b", "", "A b  c", "b a"]), 3)
+    assert [len(x) for x in sets] == [1, 1, 0, 1, 1] and sets[0] == sets[3] and sets[1] != sets[4]
 
 
 def test_membership_is_exact(spark):
