@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crowdnet.operators import tiles
 from crowdnet.operators.query import symmetric
 
+#: Order of the splines, powers tried for soft thresholds and the fit that is enough.
+SPLINE_ORDER, MOST_POWER, ENOUGH_FIT, FIT_BINS = 3, 30, 0.8, 10
+
 
 def zscore(expr: DataFrame) -> DataFrame:
     s = expr.groupBy("gene").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
-    return expr.join(s, "gene").select("sample", "gene", ((F.col("value") - F.col("m")) / F.col("sd")).alias("value"))
+    return expr.join(s, "gene").select("sample", "gene", ((F.col("value") - F.col("m")) / F.nullif("sd", F.lit(0.0))).alias("value"))
 
 
 def column_ranks(expr: DataFrame) -> DataFrame:
@@ -21,18 +27,31 @@ def column_ranks(expr: DataFrame) -> DataFrame:
     return expr.select("sample", "gene", rank.alias("value"))
 
 
-def _vectors(expr: DataFrame) -> DataFrame:
-    """(gene, v): standardised values in sample order, so that a pair's correlation is a dot product."""
-    z = zscore(expr)
-    return z.groupBy("gene").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "value"))), lambda x: x["value"]).alias("v"))
+def vectors(expr: DataFrame) -> DataFrame:
+    """(gene, v): the values in sample order."""
+    return expr.groupBy("gene").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "value"))), lambda x: x["value"]).alias("v"))
+
+
+def validated(expr: DataFrame, genes: int | None = None) -> DataFrame:
+    """expr, after a check that all genes have the same samples, finite values and some variance; genes is their number."""
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
+    by_gene = expr.groupBy("gene").agg(F.count("*").alias("n"), F.count_if(~finite).alias("bad"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    found = by_gene.agg(F.count("*").alias("genes"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("bad").alias("bad"), F.count_if(F.col("lo") == F.col("hi")).alias("flat")).first()
+    if genes is not None and found["genes"] != genes:
+        raise ValueError(f"{found['genes']} columns of values for {genes} genes")
+    if found["least"] != found["most"]:
+        raise ValueError("genes have different numbers of samples")
+    if found["bad"]:
+        raise ValueError(f"{found['bad']} values aren't finite numbers")
+    if found["flat"]:
+        raise ValueError(f"{found['flat']} genes have no variance")
+    return expr
 
 
 def pearson(expr: DataFrame) -> DataFrame:
-    """(i, j, score) for i > j: one shuffle by gene, then dot products of the genes' vectors."""
-    v = _vectors(expr)
-    a, b = v.select(F.col("gene").alias("i"), F.col("v").alias("x")), v.select(F.col("gene").alias("j"), F.col("v").alias("y"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    return a.join(b, F.col("i") > F.col("j")).select("i", "j", (dot / (F.size("x") - 1)).alias("score"))
+    """(i, j, score) for i > j: products of tiles of standardised genes."""
+    v = vectors(zscore(expr))
+    return tiles.all_pairs(v.select("gene", F.transform("v", lambda x: x / F.sqrt(F.size("v") - 1)).alias("v")), tiles.dot)
 
 
 def spearman(expr: DataFrame) -> DataFrame:
@@ -43,14 +62,41 @@ def gaussian_mi(cor: DataFrame) -> DataFrame:
     return cor.select("i", "j", (-0.5 * F.log(1 - F.col("score") * F.col("score"))).alias("score"))
 
 
-def tom(cor: DataFrame, power: int, kind: str = "unsigned") -> DataFrame:
-    """Topological overlap of soft-thresholded correlations."""
-    r = F.col("score")
-    soft = {"unsigned": F.pow(F.abs(r), F.lit(power)), "signed": F.pow((1 + r) / 2, F.lit(power)), "hybrid": F.when(r > 0, F.pow(r, F.lit(power))).otherwise(0.0)}[kind]
-    a = cor.select("i", "j", soft.alias("w"))
+def _soft(r: Column, power: int, kind: str) -> Column:
+    return {"unsigned": F.pow(F.abs(r), F.lit(power)), "signed": F.pow((1 + r) / 2, F.lit(power)), "hybrid": F.when(r > 0, F.pow(r, F.lit(power))).otherwise(0.0)}[kind]
+
+
+def power_fits(cor: DataFrame, kind: str = "signed", most: int = MOST_POWER) -> DataFrame:
+    """(power, fit) of even powers: how well the strengths of nodes follow a power law.
+
+    The strengths of a power are counted in FIT_BINS equal bins; the fit is the absolute correlation of the logarithms of
+    counts and of bin centres. Empty bins and bins centred on 0 have no logarithm and are left out.
+    """
+    powers = range(2, most + 1, 2)
+    s = symmetric(cor).groupBy("node").agg(*[F.sum(_soft(F.col("score"), p, kind)).alias(str(p)) for p in powers])
+    s = s.select(F.explode(F.array(*[F.struct(F.lit(p).alias("power"), F.col(str(p)).alias("k")) for p in powers])).alias("x")).select("x.*")
+    span = s.groupBy("power").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / FIT_BINS
+    place = F.when(width > 0, F.greatest(F.least(F.ceil((F.col("k") - F.col("lo")) / F.nullif(width, F.lit(0.0))) - 1, F.lit(FIT_BINS - 1)), F.lit(0))).otherwise(0)
+    d = s.join(F.broadcast(span), "power").groupBy("power", "lo", "hi", place.alias("bin")).agg(F.count("*").alias("n"))  # a row for each power
+    d = d.withColumn("centre", F.col("lo") + (F.col("bin") + 0.5) * width).filter("centre > 0").select("power", F.log("n").alias("y"), F.log("centre").alias("x"))
+    return d.groupBy("power").agg(F.when((F.min("x") < F.max("x")) & (F.min("y") < F.max("y")), F.abs(F.corr("x", "y"))).alias("fit"))
+
+
+def fitting_power(cor: DataFrame, kind: str = "signed", enough: float = ENOUGH_FIT, most: int = MOST_POWER) -> int:
+    """The least even power whose fit is above enough, or the last one tried."""
+    found = power_fits(cor, kind, most).filter(F.col("fit") > enough).agg(F.min("power")).first()[0]
+    return found if found is not None else most - most % 2
+
+
+def tom(cor: DataFrame, power: int | None = None, kind: str = "signed") -> DataFrame:
+    """Topological overlap of soft-thresholded correlations; without a power, the least that fits is taken."""
+    if power is None:
+        power = fitting_power(cor, kind)
+    a = cor.select("i", "j", _soft(F.col("score"), power, kind).alias("w"))
     s = symmetric(a)
     k = s.groupBy("node").agg(F.sum("w").alias("k"))
-    paths = s.select("node", F.col("other").alias("u"), F.col("w").alias("w1")).join(s.select(F.col("node").alias("u"), F.col("other").alias("end"), F.col("w").alias("w2")), "u").filter("node > end").groupBy(F.col("node").alias("i"), F.col("end").alias("j")).agg(F.sum(F.col("w1") * F.col("w2")).alias("l"))
+    paths = tiles.all_pairs(tiles.rows_of(a.select("i", "j", F.col("w").alias("score"))), tiles.dot).withColumnRenamed("score", "l")
     d = a.join(paths, ["i", "j"], "left").join(k.select(F.col("node").alias("i"), F.col("k").alias("ki")), "i").join(k.select(F.col("node").alias("j"), F.col("k").alias("kj")), "j")
     return d.select("i", "j", ((F.coalesce("l", F.lit(0.0)) + F.col("w")) / (F.least("ki", "kj") + 1 - F.col("w"))).alias("score"))
 
@@ -66,12 +112,18 @@ def clr(mi: DataFrame, genes: int) -> DataFrame:
     return d.select("i", "j", F.sqrt(z(1) * z(1) + z(2) * z(2)).alias("score"))
 
 
+def _weakest_links(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each two rows, the best of the worse of both values at the same place."""
+    out = np.full((len(left), len(right)), -np.inf)
+    for k in range(len(left)):
+        np.maximum(out[k], np.minimum(left[k], right).max(axis=1), out=out[k])
+    return out
+
+
 def dpi(mi: DataFrame) -> DataFrame:
-    """Edges that are the weakest of a triangle get score 0."""
-    s = symmetric(mi.select("i", "j", "score"))
-    two = s.select("node", F.col("other").alias("u"), F.col("score").alias("s1")).join(s.select(F.col("node").alias("u"), F.col("other").alias("end"), F.col("score").alias("s2")), "u").filter("node > end")
-    least = two.groupBy(F.col("node").alias("i"), F.col("end").alias("j")).agg(F.max(F.least("s1", "s2")).alias("over"))
-    d = mi.select("i", "j", "score").join(least, ["i", "j"], "left")
+    """Edges that are the weakest of a triangle get score 0; scores must not be negative, and pairs without edges have 0."""
+    over = tiles.all_pairs(tiles.rows_of(mi.select("i", "j", "score")), _weakest_links).withColumnRenamed("score", "over")
+    d = mi.select("i", "j", "score").join(over, ["i", "j"], "left")
     return d.select("i", "j", F.when(F.col("over") > F.col("score"), 0.0).otherwise(F.col("score")).alias("score"))
 
 
@@ -83,6 +135,140 @@ def bicor(expr: DataFrame) -> DataFrame:
     u = F.col("x") / F.nullif(9 * F.col("mad"), F.lit(0.0))
     d = d.join(mad, "gene").select("sample", "gene", F.when(F.abs(u) < 1, F.col("x") * F.pow(1 - u * u, 2)).when(u.isNotNull(), 0.0).alias("x"))
     norms = d.groupBy("gene").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    d = d.join(norms, "gene").select("sample", "gene", (F.col("x") / F.col("norm")).alias("x"))
-    a, b = d.select("sample", F.col("gene").alias("i"), F.col("x").alias("x1")), d.select("sample", F.col("gene").alias("j"), F.col("x").alias("x2"))
-    return a.join(b, "sample").filter("i > j").groupBy("i", "j").agg(F.sum(F.col("x1") * F.col("x2")).alias("score"))
+    d = d.join(norms, "gene").select("sample", "gene", (F.col("x") / F.nullif("norm", F.lit(0.0))).alias("x"))
+    v = vectors(d.select("sample", "gene", F.coalesce("x", F.lit(float("nan"))).alias("value")))
+    out = tiles.all_pairs(v, tiles.dot)
+    return out.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+
+
+def bicor_or_pearson(expr: DataFrame) -> DataFrame:
+    """bicor, and Pearson's correlation where that has no value."""
+    p = pearson(expr).withColumnRenamed("score", "r")
+    return p.join(bicor(expr), ["i", "j"], "left").select("i", "j", F.coalesce("score", "r").alias("score"))
+
+
+def knots(order: int, bins: int) -> np.ndarray:
+    inner = bins - order
+    return np.concatenate([np.zeros(order), np.arange(1, inner + 1) / (inner + 1), np.ones(order)])
+
+
+def spline_weights(x: np.ndarray, bins: int, order: int = SPLINE_ORDER) -> np.ndarray:
+    """(bins, samples): how far each value, scaled to 0..1, belongs to each bin of a B-spline basis."""
+    t = (x - x.min()) / (x.max() - x.min())
+    k = knots(order, bins)
+    w = ((t >= k[:-1, None]) & (t < k[1:, None])).astype(float)
+    w[bins - 1, t == 1] = 1.0
+    for p in range(2, order + 1):
+        n = len(w) - 1
+        up, down = k[p - 1 : p - 1 + n] - k[:n], k[p : p + n] - k[1 : n + 1]
+        a = np.divide(t - k[:n, None], up[:, None], out=np.zeros((n, len(t))), where=up[:, None] > 0)
+        b = np.divide(k[p : p + n, None] - t, down[:, None], out=np.zeros((n, len(t))), where=down[:, None] > 0)
+        w = np.maximum(a * w[:n] + b * w[1 : n + 1], 0)
+    return w[:bins]
+
+
+def _entropy(p: np.ndarray, axis) -> np.ndarray:
+    return -(p * np.log2(p, out=np.zeros_like(p), where=p > 0)).sum(axis=axis)
+
+
+def percentile(values: np.ndarray, p: int) -> float:
+    """The p-th percentile of sorted values, between those whose ranks, rounded to whole percents, stand around it."""
+    n = len(values)
+    at = np.floor(100 / n * (np.arange(1, n + 1) - 0.5) + 0.5).astype(int)
+    if p <= at[0] or p >= at[-1]:
+        return float(values[0] if p <= at[0] else values[-1])
+    k = int(np.searchsorted(at, p))
+    if at[k] == p:
+        return float(values[k])
+    return float(values[k - 1] + n * (p - at[k - 1]) / 100 * (values[k] - values[k - 1]))
+
+
+def bin_count(x: np.ndarray) -> float:
+    """Bins of a gene's values by Scott's rule with the smaller of deviation and scaled inter-quartile range."""
+    x = np.sort(x)
+    spread = min(x.std(ddof=1), (percentile(x, 75) - percentile(x, 25)) / 1.349)
+    return float(np.ceil((x[-1] - x[0]) / (len(x) ** (-1 / 3) * spread * 3.49)))
+
+
+def usual_bins(expr: DataFrame) -> int:
+    """The median of the genes' numbers of bins."""
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bin_count(x) for x in tiles.matrix(pa.chunked_array([b.column(0)]))] if b.num_rows else [], pa.float64())], names=["bins"])
+
+    return int(vectors(expr).select("v").mapInArrow(count, "bins double").agg(F.percentile("bins", 0.5)).first()[0])
+
+
+def spline_mi(expr: DataFrame, bins: int | None = None, order: int = SPLINE_ORDER) -> DataFrame:
+    """(i, j, score): mutual information in bits of genes that are spread over bins by B-splines; bins may be found from the data."""
+    n = bins or usual_bins(expr)
+    if n < order:
+        raise ValueError(f"{n} bins are too few for splines of order {order}")
+
+    def weigh(batches):
+        for b in batches:
+            if b.num_rows:
+                w = [spline_weights(x, n, order).ravel() for x in tiles.matrix(pa.chunked_array([b.column(1)]))]
+                at = np.arange(len(w) + 1, dtype=np.int32) * len(w[0])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(w)))], names=["gene", "v"])
+
+    def mutual(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        samples = left.shape[1] // n
+        x, y = left.reshape(len(left), n, samples), right.reshape(len(right), n, samples)
+        flat = y.reshape(-1, samples).T / samples
+        hx, hy = _entropy(x.mean(axis=2), 1), _entropy(y.mean(axis=2), 1)
+        out = np.empty((len(x), len(y)))
+        for k in range(len(x)):  # one gene against a block at a time bounds the joint histograms
+            out[k] = hx[k] + hy - _entropy((x[k] @ flat).reshape(n, len(y), n), (0, 2))
+        return out
+
+    gene = dict(expr.dtypes)["gene"]
+    return tiles.all_pairs(vectors(expr).mapInArrow(weigh, f"gene {gene}, v array<double>"), mutual, tile=128)
+
+
+def shrinkage(x: np.ndarray) -> float:
+    """How far to shrink the correlations of standardised columns towards none, from the variance of their estimates."""
+    n = len(x)
+    r = x.T @ x / n
+    off = float((r * r).sum() - (np.diag(r) ** 2).sum())
+    if off == 0:
+        return 1.0
+    squares = x * x
+    product = float((squares.sum(axis=1) ** 2).sum() - (squares**2).sum()) / n
+    return float(min(1.0, max(0.0, (product - off) / off / (n - 1))))
+
+
+def partial_matrix(x: np.ndarray) -> np.ndarray:
+    """Partial correlations of standardised columns from the inverse of their shrunken correlations."""
+    lam = shrinkage(x)
+    _, s, v = np.linalg.svd(x, full_matrices=False)
+    keep = s > s.max() * max(x.shape) * np.finfo(float).eps
+    s, v = s[keep], v[keep]
+    own = (1 - lam) * s * s / (len(x) - 1)
+    inverse = (v.T * (1 / own)) @ v if lam == 0 else np.eye(x.shape[1]) / lam + (v.T * (1 / (own + lam) - 1 / lam)) @ v
+    scale = 1 / np.sqrt(np.diag(inverse))
+    out = -inverse * scale * scale[:, None]
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
+#: Genes of which the inverse of all correlations is still worked out in one task.
+MOST_GENES = 20_000
+
+
+def partial_correlation(expr: DataFrame) -> DataFrame:
+    """(i, j, score): shrinkage partial correlations. The inverse of a matrix of all genes is one task's work."""
+    v = vectors(zscore(expr))
+    if v.limit(MOST_GENES + 1).count() > MOST_GENES:
+        raise ValueError(f"partial correlations of more than {MOST_GENES} genes don't fit into a task")
+    gene = dict(expr.dtypes)["gene"]
+
+    def one(table: pa.Table) -> pa.Table:
+        genes = table.column("gene").combine_chunks()
+        order = np.argsort(np.array(genes.to_pylist()), kind="stable")
+        out = partial_matrix(tiles.matrix(table.column("v"))[order].T)
+        a, b = np.tril_indices(len(order), -1)
+        return pa.table({"i": genes.take(pa.array(order[a])), "j": genes.take(pa.array(order[b])), "score": pa.array(out[a, b])})
+
+    return v.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(one, f"i {gene}, j {gene}, score double")

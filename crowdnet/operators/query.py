@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crowdnet.operators.ranking import running
+
 
 def symmetric(net: DataFrame) -> DataFrame:
     """Every edge seen from both ends: (node, other, ...)."""
@@ -31,6 +33,41 @@ def incident(net: DataFrame, nodes: DataFrame) -> DataFrame:
     return a.union(b).distinct()
 
 
+def lookup(net: DataFrame, names: DataFrame, wanted: list[str], case_insensitive: bool = False, strict: bool = False) -> DataFrame:
+    """Edges of net by the names(node, name) of their ends: "A" asks for all edges of A, "A:B" for the one between them.
+
+    Each edge is given once. With strict, names that aren't there are an error; else they find nothing. A pair of a node with
+    itself is an error.
+    """
+    fold = (lambda c: F.lower(c)) if case_insensitive else (lambda c: c)
+    asked = [tuple(w.lower().split(":", 1)) if case_insensitive else tuple(w.split(":", 1)) for w in wanted]
+    if selves := [w for w in asked if len(w) == 2 and w[0] == w[1]]:
+        raise ValueError(f"pairs of a node with itself: {selves}")
+    spark = net.sparkSession
+    d = spark.createDataFrame([(a, b[0] if b else None) for a, *b in asked], "a string, b string").distinct()
+    known = names.select("node", fold(F.col("name")).alias("name")).groupBy("name").agg(F.min("node").alias("node"))
+    side = lambda c, n: known.select(F.col("name").alias(c), F.col("node").alias(n))
+    d = F.broadcast(d).join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left")
+    if strict and (gone := [r["n"] for r in d.filter("x IS NULL").select(F.col("a").alias("n")).union(d.filter("b IS NOT NULL AND y IS NULL").select("b")).distinct().collect()]):
+        raise ValueError(f"unknown nodes: {sorted(gone)}")
+    pairs = d.filter("x IS NOT NULL AND y IS NOT NULL").select(F.greatest("x", "y").alias("i"), F.least("x", "y").alias("j"))
+    single = d.filter("b IS NULL AND x IS NOT NULL").select(F.col("x").alias("node"))
+    return incident(net, single).union(net.join(pairs, ["i", "j"], "left_semi").select(*net.columns)).distinct()
+
+
+def directed(net: DataFrame) -> DataFrame:
+    """(source, target, score) of net(i, j, direction, score): direction 1 runs from i to j, 2 from j to i, 0 both ways."""
+    ahead = net.filter("direction <> 2").select(F.col("i").alias("source"), F.col("j").alias("target"), "score")
+    return ahead.union(net.filter("direction <> 1").select(F.col("j").alias("source"), F.col("i").alias("target"), "score"))
+
+
+def directed_strength(net: DataFrame) -> DataFrame:
+    """(node, out_strength, in_strength, strength) of net(i, j, direction, score)."""
+    d = directed(net)
+    both = d.select(F.col("source").alias("node"), F.col("score").alias("o"), F.lit(0.0).alias("n")).union(d.select("target", F.lit(0.0), "score"))
+    return both.groupBy("node").agg(F.sum("o").alias("out_strength"), F.sum("n").alias("in_strength"), F.sum(F.col("o") + F.col("n")).alias("strength"))
+
+
 def top(net: DataFrame, n: int) -> DataFrame:
     return net.orderBy(F.desc("score"), "i", "j").limit(n)
 
@@ -51,17 +88,41 @@ def sample(net: DataFrame, n: int, seed: int = 0, replacement: bool = False) ->
     """Exactly n edges (all, if there are fewer); with replacement, exactly n draws."""
     if not replacement:
         return net.orderBy(F.xxhash64(F.lit(seed), "i", "j"), "i", "j").limit(n)
-    numbered = net.withColumn("_k", F.row_number().over(Window.orderBy("i", "j")) - 1)
+    numbered = running(net, ["i", "j"], place="_place").withColumn("_k", F.col("_place") - 1)
     size = net.agg(F.count("*").alias("_size"))
     draws = net.sparkSession.range(n).crossJoin(F.broadcast(size)).select(F.pmod(F.xxhash64(F.lit(seed), "id"), "_size").alias("_k"))  # one row of size
     return draws.join(numbered, "_k").select(*net.columns)
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """(node, id): the different nodes in order, with gapless numbers from 0."""
+    return running(nodes.select("node").distinct(), ["node"], place="place").select("node", (F.col("place") - 1).alias("id"))
+
+
+def matrix_rows(net: DataFrame, nodes: DataFrame, part: str = "full", diagonal: bool = False, fill: float | None = None) -> DataFrame:
+    """(i, values): the row of each node with its scores to nodes in order, gaps filled.
+
+    part is full, lower (nodes below it) or upper (above it); diagonal adds the node itself to a triangle. Only a row's own
+    edges are shuffled; its gaps are filled within the row.
+    """
+    ids = numbered(nodes)
+    a, b = ids.select(F.col("node").alias("i"), F.col("id").alias("x")), ids.select(F.col("node").alias("j"), F.col("id").alias("y"))
+    both = symmetric(net.select("i", "j", "score")).select(F.col("node").alias("i"), F.col("other").alias("j"), "score")
+    own = both.join(a, "i").join(b, "j").groupBy("i", "x").agg(F.collect_list(F.struct(F.col("y").alias("id"), "score")).alias("e"))
+    last = F.lit(ids.count() - 1).cast("long")
+    d = ids.select(F.col("node").alias("i"), F.col("id").alias("x")).join(own.drop("x"), "i", "left")
+    at = F.col("x")
+    lo = {"full": F.lit(0).cast("long"), "lower": F.lit(0).cast("long"), "upper": at if diagonal else at + 1}[part]
+    hi = {"full": last, "lower": at if diagonal else at - 1, "upper": last}[part]
+    every = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))
+    d = d.select("i", every.alias("every"), F.filter(F.coalesce("e", F.array().cast("array<struct<id:bigint,score:double>>")), lambda c: c["id"].between(lo, hi)).alias("e"))
+    gaps = F.transform(F.array_except("every", F.transform("e", lambda c: c["id"])), lambda k: F.struct(k.alias("id"), F.lit(fill).cast("double").alias("score")))
+    return d.select("i", F.transform(F.sort_array(F.concat("e", gaps)), lambda c: c["score"]).alias("values"))
+
+
 def lower_triangle(net: DataFrame, nodes: DataFrame, diagonal: bool = False, fill: float | None = None) -> DataFrame:
-    """(i, values): the row of each node with its scores to the nodes below it in order, gaps filled."""
-    low = nodes.select(F.col("node").alias("i")).join(nodes.select(F.col("node").alias("j")), F.col("j") <= F.col("i") if diagonal else F.col("j") < F.col("i"))
-    cells = low.join(net.select("i", "j", "score"), ["i", "j"], "left").withColumn("score", F.coalesce("score", F.lit(fill).cast("double")))
-    return cells.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "score"))), lambda x: x["score"]).alias("values"))
+    """(i, values): the row of each node with its scores to the nodes below it in order, gaps filled; empty rows are left out."""
+    return matrix_rows(net, nodes, "lower", diagonal, fill).filter(F.size("values") > 0)
 
 
 def adjacency(net: DataFrame) -> DataFrame:
@@ -84,7 +145,6 @@ def histogram(networks: DataFrame, bins: int = 25) -> DataFrame:
 
 def reheader(net: DataFrame) -> DataFrame:
     """Edges with the ids of the nodes that have edges, made gapless in order."""
-    used = symmetric(net).select("node").distinct()
-    ids = used.withColumn("id", F.row_number().over(Window.orderBy("node")) - 1)  # one row for each node
+    ids = numbered(symmetric(net))
     a, b = ids.select(F.col("node").alias("i"), F.col("id").alias("new_i")), ids.select(F.col("node").alias("j"), F.col("id").alias("new_j"))
     return net.join(a, "i").join(b, "j").select(F.col("new_i").alias("i"), F.col("new_j").alias("j"), *[c for c in net.columns if c not in ("i", "j")])

@@ -50,6 +50,31 @@ def midrank(df: DataFrame, value: str, by: list[str] | None = None, ascending: b
     return df.join(ranks, [*by, value], "left").select(*df.columns, out)
 
 
+def running(df: DataFrame, order: list[str], sums: dict[str, str] | None = None, least: dict[str, str] | None = None, place: str | None = None) -> DataFrame:
+    """df with running sums and minima of columns (by output name) and the place from 1, all in ascending order of columns.
+
+    The rows are range-partitioned and gone through once in each range, with what stands before it from a row for each
+    range, so no task goes through the whole table. A value may be shared by many rows only if later columns tell them
+    apart.
+    """
+    spark = df.sparkSession
+    sums, least = sums or {}, least or {}
+    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = Scratch(spark).cut(df.repartitionByRange(p, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    totals = d.groupBy("_p").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()], *[F.min(c).alias(f"_m_{o}") for o, c in least.items()])
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = totals.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_s_{o}") for o in sums], *[F.min(f"_m_{o}").over(before).alias(f"_m_{o}") for o in least])
+    within = Window.partitionBy("_p").orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    out = d.join(F.broadcast(offsets), "_p").select(
+        *df.columns,
+        *([(F.col("_n") + F.row_number().over(within)).alias(place)] if place else []),
+        *[(F.col(f"_s_{o}") + F.coalesce(F.sum(c).over(so_far), F.lit(0))).alias(o) for o, c in sums.items()],
+        *[F.least(F.col(f"_m_{o}"), F.min(c).over(so_far)).alias(o) for o, c in least.items()],
+    )
+    return out
+
+
 def import_edges(raw: DataFrame, a: str = "a", b: str = "b", weight: str = "w", by: list[str] | None = None, absolute: bool = False, reverse: bool = False, drop_zero: bool = False, undirected: bool = False) -> DataFrame:
     """Ranked network (by..., i, j, direction, score, rank) of directed weights.
 

@@ -35,7 +35,7 @@ def one(spark: SparkSession, sf: str, alg: str) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf: str, method: str = "irp") -> DataFrame:
-    return consensus.aggregate(imported(spark, sf), method, len(ALGS), NODES)
+    return consensus.aggregate(imported(spark, sf), method, len(ALGS), NODES, first=ALGS[0])
 
 
 def expression(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,9 +67,19 @@ METHODS_SQL = {
 VOTE_SQL = "CASE WHEN count(*) FILTER (direction = 1) > 2 * count(*) FILTER (direction = 2) THEN 1 WHEN count(*) FILTER (direction = 2) > 2 * count(*) FILTER (direction = 1) THEN 2 ELSE 0 END"
 
 
+#: SQL of the direction that a method gives an edge.
+_BEST = "list(direction ORDER BY rank, alg)"
+DIRECTION_SQL = {
+    "irp": VOTE_SQL,
+    "borda": f"coalesce(max(direction) FILTER (alg = '{ALGS[0]}'), 0)",
+    "top1": f"{_BEST}[1]",
+    "top2": f"CASE WHEN {_BEST}[1] = {_BEST}[2] THEN {_BEST}[1] ELSE 0 END",
+}
+
+
 def fused_sql(method: str = "irp") -> str:
     return IMPORT_SQL + f""",
-g0 AS (SELECT i, j, {VOTE_SQL} AS direction, round({METHODS_SQL[method]}, 9) AS value FROM imp GROUP BY i, j),
+g0 AS (SELECT i, j, {DIRECTION_SQL[method]} AS direction, round({METHODS_SQL[method]}, 9) AS value FROM imp GROUP BY i, j),
 g1 AS (SELECT *, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS rank FROM g0 WHERE value IS NOT NULL),
 net AS (SELECT i, j, direction, value, rank, 1 - (rank - min(rank) OVER ()) / (max(rank) OVER () - min(rank) OVER ()) AS score FROM g1)"""
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdnet.functions import filters
-from crowdnet.operators import association, centrality, components, consensus, networks, query, ranking
+from crowdnet.operators import association, centrality, clusters, components, consensus, ensembles, networks, perturbations, query, ranking, thresholds
 from crowdnet.plans import datasets as D
+from crowdnet.scratch import Scratch
+from crowdnet.sources import store, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -243,8 +245,12 @@ def _(spark, sf):
 _ROC = f"{D.fused_sql()}, {_GOLD}, e AS (SELECT net.*, CASE WHEN gold.i IS NULL THEN 0 ELSE 1 END AS t FROM net LEFT JOIN gold USING (i, j)), r AS (SELECT row_number() OVER o AS place, CAST(sum(t) OVER o AS BIGINT) AS tp, CAST(sum(1 - t) OVER o AS BIGINT) AS fp, sum(t) OVER () AS pos, sum(1 - t) OVER () AS neg FROM e WINDOW o AS (ORDER BY abs(score) DESC, i, j ROWS UNBOUNDED PRECEDING)), roc AS (SELECT place, tp, fp, tp / pos AS tpr, fp / neg AS fpr, tp / place AS ppv FROM r)"
 
 
+def _judged(spark, sf):
+    return networks.judged(D.fused(spark, sf).select("i", "j", "score"), _gold(spark, sf))
+
+
 def _curve(spark, sf):
-    return networks.roc(networks.judged(D.fused(spark, sf).select("i", "j", "score"), _gold(spark, sf)))
+    return networks.roc(_judged(spark, sf))
 
 
 @register("roc_curve", f"WITH {_ROC} SELECT place, tp, fp, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr, round(ppv, 9) AS ppv FROM roc")
@@ -254,7 +260,7 @@ def _(spark, sf):
 
 @register("roc_auc", f"WITH {_ROC}, l AS (SELECT *, lag(tpr) OVER (ORDER BY place) AS t0, lag(fpr) OVER (ORDER BY place) AS f0, lag(ppv) OVER (ORDER BY place) AS p0 FROM roc) SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 9) AS auc, round(sum((tpr - t0) * (ppv + p0) / 2), 9) AS aupr FROM l")
 def _(spark, sf):
-    return rounded(networks.areas(_curve(spark, sf)), auc=9, aupr=9)
+    return rounded(networks.areas(_judged(spark, sf)), auc=9, aupr=9)
 
 
 @register("roc_recall_cut", f"WITH {_ROC} SELECT min(place) AS place FROM roc WHERE tpr >= 0.5")
@@ -279,9 +285,8 @@ def _(spark, sf):
 
 @register("resolve_paths", "SELECT n_name AS name, string_split(n_regionkey || ':' || n_nationkey, ':')[1] AS level1, string_split(n_regionkey || ':' || n_nationkey, ':')[2] AS level2 FROM nation")
 def _(spark, sf):
-    n = D.table(spark, sf, "nation").select("n_name", F.concat_ws(":", "n_regionkey", "n_nationkey").alias("path"))
-    parts = F.split("path", ":")
-    return n.select(F.col("n_name").alias("name"), F.coalesce(F.get(parts, F.lit(0)), F.lit("NA")).alias("level1"), F.coalesce(F.get(parts, F.lit(1)), F.lit("NA")).alias("level2"))
+    n = D.table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.split(F.concat_ws(":", "n_regionkey", "n_nationkey"), ":").alias("path"))
+    return text.levels(n)
 
 
 @register("sample_exact")
@@ -313,9 +318,91 @@ def _(spark, sf):
     return networks.degree_counts(D.shipped_together(spark, sf, 8))
 
 
-@register("threshold_sweep", f"WITH {D.COSHIP_SQL}, c AS (SELECT k AS step, 2.0 + k AS cut FROM range(11) t(k)) SELECT step, CAST(cut AS DOUBLE) AS cut, count(DISTINCT n) AS nodes, CAST(count(n) / 2 AS BIGINT) AS edges FROM c LEFT JOIN (SELECT i AS n, score FROM co UNION ALL SELECT j, score FROM co) e ON e.score >= c.cut GROUP BY step, cut")
+_CUTS = f"""{D.COSHIP_SQL}, b AS (SELECT floor(avg(score)) AS lo, max(score) AS hi FROM co), c AS (SELECT CAST(k AS INTEGER) AS step, CASE WHEN k = 10 THEN hi ELSE lo + k * ((hi - lo) / 10) END AS cut FROM b, range(11) t(k)),
+l AS (SELECT step, i, j FROM c JOIN co ON score > cut), dg AS (SELECT step, n, count(*) AS d FROM (SELECT step, i AS n FROM l UNION ALL SELECT step, j FROM l) GROUP BY 1, 2),
+hg AS (SELECT step, d, count(*) AS c FROM dg GROUP BY 1, 2), t3 AS (SELECT x.step, count(*) AS t FROM l x JOIN l y ON x.step = y.step AND x.j = y.i JOIN l z ON z.step = x.step AND z.i = x.i AND z.j = y.j GROUP BY 1),
+ft AS (SELECT step, sum(c) AS nodes, sum(c * d) / 2 AS edges, sum(c * d * (d - 1)) / 2 AS triples, CASE WHEN min(d) < max(d) AND min(c) < max(c) THEN pow(corr(log10(d + 1), log10(c + 1)), 2) END AS r2 FROM hg GROUP BY 1),
+sw AS (SELECT c.step, cut, CAST(coalesce(nodes, 0) AS BIGINT) AS nodes, CAST(coalesce(edges, 0) AS BIGINT) AS edges, r2, CASE WHEN triples > 0 THEN 3 * coalesce(t, 0) / triples END AS transitivity FROM c LEFT JOIN ft USING (step) LEFT JOIN t3 USING (step))"""
+
+
+def _sweep(spark, sf):
+    net = D.shipped_together(spark, sf)
+    lo, hi = net.agg(F.floor(F.avg("score")).cast("double"), F.max("score")).first()
+    return thresholds.sweep(net, lo, hi, 10)
+
+
+@register("threshold_sweep", f"WITH {_CUTS} SELECT step, cut, nodes, edges, round(r2, 9) AS r2, round(transitivity, 9) AS transitivity FROM sw")
+def _(spark, sf):
+    return rounded(_sweep(spark, sf), r2=9, transitivity=9)
+
+
+@register("threshold_suggested", f"""WITH {_CUTS}, rk AS (SELECT step, CAST(dense_rank() OVER (ORDER BY nodes DESC) - 1 AS INTEGER) AS nodes_rank, CAST(dense_rank() OVER (ORDER BY edges DESC) - 1 AS INTEGER) AS edges_rank,
+CAST(dense_rank() OVER (ORDER BY round(r2, 9) DESC NULLS LAST) - 1 AS INTEGER) AS r2_rank, CAST(dense_rank() OVER (ORDER BY round(abs(0.5 - transitivity), 9) NULLS LAST) - 1 AS INTEGER) AS transitivity_rank FROM sw)
+SELECT *, row_number() OVER (ORDER BY nodes_rank + r2_rank + transitivity_rank, step DESC) = 1 AS suggested FROM rk""")
+def _(spark, sf):
+    return thresholds.suggested(_sweep(spark, sf)).select("step", "nodes_rank", "edges_rank", "r2_rank", "transitivity_rank", "suggested")
+
+
+_DENSE = D.COSHIP_SQL + ", l AS (SELECT i, j, score FROM co WHERE score > (SELECT avg(score) FROM co)), e AS (SELECT i AS node, j AS other, score FROM l UNION ALL SELECT j, i, score FROM l)"
+
+
+def _above_mean(spark, sf):
+    net = D.shipped_together(spark, sf)
+    return net.crossJoin(F.broadcast(net.agg(F.avg("score").alias("mean")))).filter("score > mean").select("i", "j", "score")  # one row
+
+
+_HOPS = "".join(f", p{k} AS MATERIALIZED (SELECT source, node, min(d) AS d FROM (SELECT * FROM p{k - 1} UNION ALL SELECT p.source, e.other, p.d + e.score FROM p{k - 1} p JOIN e ON p.node = e.node) GROUP BY 1, 2)" for k in range(1, 5))
+
+
+@register("graphstats", f"""WITH RECURSIVE {_DENSE}, k AS (SELECT node, count(*) AS d, sum(score) AS s FROM e GROUP BY 1), alls AS (SELECT s_suppkey AS node, coalesce(d, 0) AS d, coalesce(s, 0) AS s FROM supplier LEFT JOIN k ON k.node = s_suppkey),
+sp AS (SELECT min(d) AS lo, max(d) AS hi FROM alls), hb AS (SELECT CASE WHEN hi > lo THEN CAST(floor((d - lo) / (hi - lo) * 199 + 0.5) AS BIGINT) ELSE 0 END AS id, count(*) AS c FROM alls, sp GROUP BY 1),
+fx AS (SELECT lo + t.id * (hi - lo) / 199 AS x, coalesce(c, 0) AS c FROM range(200) t(id) LEFT JOIN hb ON hb.id = t.id, sp), ff AS (SELECT CASE WHEN min(c) < max(c) THEN pow(corr(log10(x), log10(c + 1)), 2) END AS fit FROM fx WHERE x > 0),
+tr AS (SELECT count(*) AS t FROM l a JOIN l b ON a.j = b.i JOIN l c ON c.i = a.i AND c.j = b.j), r AS (SELECT DISTINCT node, node AS seen FROM e UNION SELECT e.other, r.seen FROM r JOIN e ON e.node = r.node),
+cm AS (SELECT count(DISTINCT m) AS parts FROM (SELECT node, min(seen) AS m FROM r GROUP BY 1)), al AS (SELECT count(*) FILTER (d = 0) AS alone, count(*) AS n, sum(d) AS d, sum(s) AS s, sum(d * (d - 1)) / 2 AS triples FROM alls),
+p0 AS (SELECT DISTINCT node AS source, node, CAST(0 AS DOUBLE) AS d FROM e){_HOPS}, pp AS (SELECT max(d) AS dia, sum(d) AS far, count(*) AS pairs FROM p4)
+SELECT CAST(place AS INTEGER) AS place, metric, round(CAST(value AS DOUBLE), 6) AS value FROM (
+SELECT 1 AS place, 'nodes' AS metric, n AS value FROM al UNION ALL SELECT 2, 'edges', d / 2 FROM al UNION ALL SELECT 3, 'components', parts + alone FROM cm, al UNION ALL SELECT 4, 'clustering_coefficient', 3 * t / triples FROM tr, al
+UNION ALL SELECT 5, 'scale_free_fit', fit FROM ff UNION ALL SELECT 6, 'average_degree', d / n FROM al UNION ALL SELECT 7, 'average_weighted_degree', s / n FROM al UNION ALL SELECT 8, 'diameter', dia FROM pp UNION ALL SELECT 9, 'average_path_length', far / (pairs + alone) FROM pp, al)""")
 def _(spark, sf):
-    return networks.sweep(D.shipped_together(spark, sf), 2.0, 12.0, 10)
+    return rounded(thresholds.graph_report(_above_mean(spark, sf), D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"))), value=6)
+
+
+_CLUSTERS = """cx AS (SELECT n_regionkey || ':' || n_nationkey AS path, c_custkey AS member FROM customer JOIN nation ON c_nationkey = n_nationkey),
+cy AS (SELECT c_mktsegment || ':' || CAST(c_custkey % 4 AS VARCHAR) AS path, c_custkey AS member FROM customer),
+{names}"""
+
+
+def _members_sql(name: str, least: int, most: int) -> str:
+    return f"""{name}0 AS (SELECT DISTINCT string_split(path, ':')[1] AS cluster, member FROM c{name} UNION SELECT DISTINCT path, member FROM c{name}),
+{name} AS (SELECT * FROM {name}0 WHERE cluster IN (SELECT cluster FROM {name}0 GROUP BY 1 HAVING count(*) BETWEEN {least} AND {most}))"""
+
+
+_MAPS = _CLUSTERS.format(names=_members_sql("x", 10, 400) + ",\n" + _members_sql("y", 10, 400))
+
+
+def _maps(spark, sf):
+    c, n = D.table(spark, sf, "customer"), D.table(spark, sf, "nation")
+    first = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws(":", "n_regionkey", "n_nationkey").alias("path"), F.col("c_custkey").alias("member"))
+    return first, c.select(F.concat_ws(":", "c_mktsegment", F.col("c_custkey") % 4).alias("path"), F.col("c_custkey").alias("member"))
+
+
+@register("cluster_members", f"WITH {_MAPS} SELECT cluster, string_agg(CAST(member AS VARCHAR), ',' ORDER BY CAST(member AS VARCHAR)) AS members FROM x GROUP BY 1")
+def _(spark, sf):
+    return clusters.listing(clusters.members(_maps(spark, sf)[0], 10, 400))
+
+
+@register("cluster_enrichment_bh", f"""WITH {_MAPS}, tops AS (SELECT DISTINCT cluster, CASE WHEN string_split(cluster, ':')[1] IN (SELECT cluster FROM y) THEN string_split(cluster, ':')[1] ELSE cluster END AS top FROM y),
+pr AS (SELECT a.cluster AS first, b.cluster AS second FROM (SELECT DISTINCT cluster FROM x) a, (SELECT DISTINCT cluster FROM y) b),
+ct AS (SELECT first, second, (SELECT count(*) FROM x WHERE x.cluster = first) AS first_size, (SELECT count(*) FROM y WHERE y.cluster = second) AS mt, (SELECT count(*) FROM y WHERE y.cluster = top) AS mpat,
+  (SELECT count(*) FROM x JOIN y USING (member) WHERE x.cluster = first AND y.cluster = second) AS nt, (SELECT count(*) FROM x JOIN y USING (member) WHERE x.cluster = first AND y.cluster = top) AS npat FROM pr JOIN tops ON tops.cluster = second),
+ks AS (SELECT *, unnest(range(nt, least(mt, npat) + 1)) AS k FROM ct),
+lg AS (SELECT *, lgamma(mt + 1) - lgamma(k + 1) - lgamma(mt - k + 1) + CASE WHEN npat - k <= mpat - mt THEN lgamma(mpat - mt + 1) - lgamma(npat - k + 1) - lgamma(mpat - mt - npat + k + 1) END - lgamma(mpat + 1) + lgamma(npat + 1) + lgamma(mpat - npat + 1) AS e FROM ks),
+ps AS (SELECT first, second, any_value(first_size) AS first_size, any_value(mt) AS mt, any_value(mpat) AS mpat, any_value(nt) AS nt, any_value(npat) AS npat, sum(coalesce(exp(e), 0)) AS p FROM lg GROUP BY 1, 2),
+rk AS (SELECT *, count(*) OVER () / row_number() OVER (ORDER BY p, first, second) * p AS raw, row_number() OVER (ORDER BY p, first, second) AS r FROM ps),
+bh AS (SELECT *, least(1, min(raw) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS p_adj FROM rk)
+SELECT first, second, first_size, mt AS second_size, mt, nt, mpat, npat, round(nt / mt, 9) AS share, round(p, 6) AS p, round(p_adj, 6) AS p_adj FROM bh WHERE nt > 0""")
+def _(spark, sf):
+    return rounded(clusters.enrichment(*_maps(spark, sf), alpha=None, least=10, most=400), share=9, p=6, p_adj=6)
 
 
 _PR = 3
@@ -435,3 +522,130 @@ n AS (SELECT gene, sqrt(sum(x * x)) AS norm FROM w GROUP BY 1), z AS (SELECT sam
 SELECT p.gene AS i, q.gene AS j, round(sum(p.x * q.x), 6) AS score FROM z p JOIN z q ON p.sample = q.sample AND p.gene > q.gene GROUP BY 1, 2""")
 def _bicor(spark, sf):
     return rounded(association.bicor(D.expression(spark, sf)), score=6)
+
+
+@register("lookup_names", _net_sql(f"SELECT i, j, round(score, 9) AS score, rank FROM net WHERE (i = 3 OR j = 3) OR (i = 7 AND j = 5)"))
+def _lookup(spark, sf):
+    names = D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name"))
+    three, five, seven = (names.filter(F.col("node") == k).first()["name"].lower() for k in (3, 5, 7))
+    return rounded(query.lookup(D.fused(spark, sf).select("i", "j", "score", "rank"), names, [three, f"{five}:{seven}"], case_insensitive=True, strict=True), score=9)
+
+
+@register("strength_directed", _net_sql(""", d AS (SELECT i AS s, j AS t, score FROM net WHERE direction <> 2 UNION ALL SELECT j, i, score FROM net WHERE direction <> 1), b AS (SELECT s AS node, score AS o, 0 AS n FROM d UNION ALL SELECT t, 0, score FROM d)
+SELECT node, round(sum(o), 6) AS out_strength, round(sum(n), 6) AS in_strength, round(sum(o + n), 6) AS strength FROM b GROUP BY 1"""))
+def _directed(spark, sf):
+    return rounded(query.directed_strength(D.fused(spark, sf)), out_strength=6, in_strength=6, strength=6)
+
+
+@register("agg_kept_directions", f"WITH {D.fused_sql('top2')}, k AS (SELECT i, j, list(alg ORDER BY rank, alg)[1] AS t1, list(alg ORDER BY rank, alg)[2] AS t2, " + ", ".join(f"max(direction) FILTER (alg = '{a}') AS d_{a}" for a in D.ALGS) + " FROM imp GROUP BY 1, 2) SELECT i, j, direction, rank, t1, t2, " + ", ".join(f"d_{a}" for a in D.ALGS) + " FROM net JOIN k USING (i, j)")
+def _kept(spark, sf):
+    out = consensus.aggregate(D.imported(spark, sf), "top2", len(D.ALGS), D.NODES, keep=D.ALGS)
+    return out.select("i", "j", "direction", "rank", "t1", "t2", *[f"d_{a}" for a in D.ALGS])
+
+
+def _names(spark, sf):
+    return D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name"))
+
+
+_CELLS = "cl AS (SELECT x.n_nationkey AS i, x.n_name AS name, y.n_nationkey AS j, y.n_name AS other, CASE WHEN x.n_nationkey = y.n_nationkey OR score IS NULL THEN 'NaN' ELSE printf('%.8f', round(score, 6)) END AS v FROM nation x, nation y LEFT JOIN net ON net.i = greatest(x.n_nationkey, y.n_nationkey) AND net.j = least(x.n_nationkey, y.n_nationkey))"
+for _kind, _lines in {
+    "sym-mat": "SELECT i, string_agg(v, chr(9) ORDER BY j) AS value FROM cl GROUP BY i",
+    "low-tri": "SELECT i, string_agg(v, chr(9) ORDER BY j) AS value FROM cl WHERE j < i GROUP BY i",
+    "up-tri": "SELECT i, repeat(chr(9), i) || string_agg(v, chr(9) ORDER BY j) AS value FROM cl WHERE j > i GROUP BY i",
+    "aracne": "SELECT i, any_value(name) || chr(9) || string_agg(other || chr(9) || v, chr(9) ORDER BY j) AS value FROM cl GROUP BY i",
+    "edge-list": "SELECT i, j, name || chr(9) || other || chr(9) || v AS value FROM cl WHERE v <> 'NaN'",
+}.items():
+    QUERIES[f"convert_{_kind.replace('-', '_')}"] = lambda spark, sf, k=_kind: text.matrix_lines(rounded(D.fused(spark, sf).select("i", "j", "score"), score=6), _names(spark, sf), k)
+    ORACLES[f"convert_{_kind.replace('-', '_')}"] = _net_sql(f", {_CELLS} {_lines}")
+
+
+@register("network_round_trip", _net_sql("SELECT x.n_name AS name_i, y.n_name AS name_j, direction, rank, round(score, 9) AS score FROM net JOIN nation x ON x.n_nationkey = i JOIN nation y ON y.n_nationkey = j WHERE score > 0.5"))
+def _round_trip(spark, sf):
+    """A network written with its header, nodes and measures, and a part of it read back by name."""
+    path = Scratch(spark).path("network")
+    net = D.fused(spark, sf).select("i", "j", "direction", "rank", "score")
+    store.write_network(store.Network(_names(spark, sf), net, networks.strength(net), {"name": "trade"}), path)
+    back = store.read_network(spark, path).subset("score > 0.5")
+    a, b = (back.nodes.select(F.col("node").alias(e), F.col("name").alias(f"name_{e}")) for e in "ij")
+    return rounded(back.edges.join(a, "i").join(b, "j").select("name_i", "name_j", "direction", "rank", "score"), score=9)
+
+
+@register("tau_orthologs", f"""WITH {D.IMPORT_SQL}, m AS (SELECT n_nationkey AS old, (n_nationkey + k * 5) % 25 AS new FROM nation, range(2) t(k)),
+y0 AS (SELECT greatest(a.new, b.new) AS i, least(a.new, b.new) AS j, max(score) AS score FROM imp JOIN m a ON a.old = i JOIN m b ON b.old = j WHERE alg = 'qty' AND a.new <> b.new GROUP BY 1, 2),
+xs AS (SELECT i AS node, j AS other, score FROM imp WHERE alg = 'revenue' UNION ALL SELECT j, i, score FROM imp WHERE alg = 'revenue'), ys AS (SELECT i AS node, j AS other, score FROM y0 UNION ALL SELECT j, i, score FROM y0),
+d AS (SELECT node, other, coalesce(xs.score, 0) AS x, coalesce(ys.score, 0) AS y FROM xs FULL JOIN ys USING (node, other)),
+p AS (SELECT a.node, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM d a JOIN d b ON a.node = b.node AND a.other < b.other), s AS (SELECT node, sum(sx * sy) AS s, sum(abs(sx)) AS nx, sum(abs(sy)) AS ny FROM p GROUP BY node)
+SELECT node, round(CASE WHEN nx > 0 AND ny > 0 THEN s / sqrt(CAST(nx * ny AS DOUBLE)) END, 9) AS tau FROM s""")
+def _tau_orthologs(spark, sf):
+    n = D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("old"))
+    both = n.select("old", F.col("old").alias("new")).union(n.select("old", (F.col("old") + 5) % 25))
+    return rounded(networks.kendall(D.one(spark, sf, "revenue"), networks.orthologs(D.one(spark, sf, "qty").select("i", "j", "score"), both)), tau=9)
+
+
+@register("tom_power_fits", f"""WITH {_PEARSON}, pw AS (SELECT 2 * p AS power FROM range(1, 16) t(p)), sk AS (SELECT power, n, sum(pow((1 + score) / 2, power)) AS k FROM pw, (SELECT i AS n, score FROM cor UNION ALL SELECT j, score FROM cor) GROUP BY 1, 2),
+sp AS (SELECT power, min(k) AS lo, max(k) AS hi FROM sk GROUP BY 1), bn AS (SELECT power, lo, hi, CASE WHEN hi > lo THEN greatest(least(ceil((k - lo) / ((hi - lo) / 10)) - 1, 9), 0) ELSE 0 END AS bin, count(*) AS n FROM sk JOIN sp USING (power) GROUP BY 1, 2, 3, 4)
+SELECT CAST(power AS INTEGER) AS power, round(CASE WHEN min(n) < max(n) AND min(bin) < max(bin) THEN abs(corr(ln(lo + (bin + 0.5) * (hi - lo) / 10), ln(n))) END, 6) AS fit FROM bn GROUP BY 1""")
+def _power_fits(spark, sf):
+    return rounded(association.power_fits(association.pearson(D.expression(spark, sf))), fit=6)
+
+
+@register("network_distance", f"WITH {D.IMPORT_SQL}, x AS (SELECT i, j, score FROM imp WHERE alg = 'cnt'), y AS (SELECT i, j, score FROM imp WHERE alg = 'qty'), b AS (SELECT i, j, coalesce(x.score, 0) AS a, coalesce(y.score, 0) AS b FROM x FULL JOIN y USING (i, j)), n AS (SELECT count(DISTINCT n) AS n FROM (SELECT i AS n FROM b UNION ALL SELECT j FROM b)) SELECT round(pow(2 * sum(pow(abs(a - b), 2)) / (any_value(n) * (any_value(n) - 1) / 2), 0.5), 6) AS distance FROM b, n")
+def _distance(spark, sf):
+    return rounded(perturbations.network_distance(D.one(spark, sf, "cnt"), D.one(spark, sf, "qty")), distance=6)
+
+
+@register("compare_merged_names", f"WITH {_TWO}, xn AS (SELECT DISTINCT unnest([i, j]) AS node FROM x), yn AS (SELECT DISTINCT unnest([i, j]) + 100 AS node FROM y), p AS (SELECT xn.node AS old, yn.node AS new FROM xn JOIN yn ON yn.node = xn.node + 100) SELECT node, coalesce(a.old || ',' || a.new, b.old || ',' || b.new, CAST(node AS VARCHAR)) AS name FROM (SELECT node FROM xn UNION SELECT node FROM yn) LEFT JOIN p a ON a.old = node LEFT JOIN p b ON b.new = node")
+def _merged(spark, sf):
+    x, y = (query.symmetric(e).select("node").distinct() for e in _two(spark, sf))
+    dictionary = D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("old"), (F.col("n_nationkey") + 100).alias("new"))
+    return networks.merged_names(x, y.select((F.col("node") + 100).alias("node")), dictionary)
+
+
+def _few_genes(spark, sf):
+    """The expression table of ten genes: the regressions of all genes take long on one machine."""
+    return D.expression(spark, sf).filter("gene < 10")
+
+
+for _name, _options in {"genie3": {"models": 10}, "elnet": {"models": 5}, "tigress": {"models": 5}, "plsnet": {"models": 20}, "llr": {"models": 10}, "svm": {"models": 2, "samples": (40, 60)}, "narromi": {}}.items():
+    QUERIES[f"infer_{_name}"] = lambda spark, sf, n=_name, o=_options: rounded(ensembles.regress(_few_genes(spark, sf), ensembles.KERNELS[n](**o), seed=1), score=9)
+
+
+@register("mi_bspline")
+def _mi_bspline(spark, sf):
+    return rounded(association.spline_mi(D.expression(spark, sf), bins=7), score=9)
+
+
+@register("pcor")
+def _pcor(spark, sf):
+    return rounded(association.partial_correlation(D.expression(spark, sf)), score=9)
+
+
+@register("betweenness")
+def _betweenness(spark, sf):
+    return rounded(centrality.betweenness(D.one(spark, sf, "cnt"))[0], betweenness=6)
+
+
+@register("edge_betweenness")
+def _edge_betweenness(spark, sf):
+    return rounded(centrality.betweenness(D.one(spark, sf, "cnt"))[1], betweenness=6)
+
+
+@register("spanning_edges")
+def _spanning(spark, sf):
+    return rounded(centrality.spanning_edges(D.one(spark, sf, "cnt")), spanning=9)
+
+
+@register("anoverence")
+def _anoverence(spark, sf):
+    """Forty samples as chips: four repeats of a control and of three treatments at each of two times and more."""
+    s = F.col("sample")
+    d = D.expression(spark, sf).filter("sample < 40")
+    chips = d.select("sample").distinct().select("sample", F.floor(s / 20).alias("experiment"), F.when(F.floor(s / 4) % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("t"), F.floor(s / 4) % 5))).alias("perturbations"), F.lit(0.0).alias("time"), (s % 4 + 1).cast("int").alias("repeat"), F.array().cast("array<int>").alias("changed"))
+    return rounded(perturbations.anoverence(d, chips), score=9)
+
+
+@register("differential_network")
+def _differential(spark, sf):
+    d = D.expression(spark, sf).filter("gene < 12")
+    ways = spark.range(12).select((F.col("id") % 3).alias("pathway"), F.col("id").cast("int").alias("gene"))
+    return rounded(perturbations.differential(d.filter("sample % 2 = 0"), d.filter("sample % 2 = 1"), ways, permutations=20, seed=1), distance=9, mean_permuted=9)
