@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crowdnet.llm.words import CACHED_WORDS, U64, grams, mix64, slices
+from crowdnet.llm.membership import rows_not_in
+from crowdnet.llm.words import CACHED_WORDS, U64, grams, mix64, slices, small_batches
 from crowdnet.scratch import Scratch
 
 SEED = 3
@@ -283,8 +284,23 @@ def contaminations(docs: DataFrame, bench: DataFrame, text: str = "text", item_i
     return docs.withColumn(out, found)
 
 
+def without_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", prefix: str = "_leak_", **options) -> DataFrame:
+    """docs without the rows that hold an item; prefix must not begin a column's name.
+
+    Only texts go through Python; the rows that go are told by two hashes of their texts, as equal texts are judged alike.
+    """
+    key = [F.xxhash64(F.col(f"`{text}`")), F.xxhash64(F.lit("other"), F.col(f"`{text}`"))]
+    found = contaminations(docs.select(F.col(f"`{text}`").alias("text"), key[0].alias("k0"), key[1].alias("k1")), bench, **options)
+    spark = docs.sparkSession
+    with small_batches(spark):
+        gone = Scratch(spark).cut(found.filter(F.size("matches") > 0).select("k0", "k1"), "contaminated")
+    return rows_not_in(docs, key, gone, prefix)
+
+
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Every passage of a document that holds a benchmark item, exact or edited."""
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = contaminations(docs.select("doc_id", "text"), bench)
-    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", F.round("m.score", 6).alias("score"), F.col("m.words").alias("words"), F.col("m.start").alias("start_word"), F.col("m.stop").alias("stop_word"))
+    found = found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", F.round("m.score", 6).alias("score"), F.col("m.words").alias("words"), F.col("m.start").alias("start_word"), F.col("m.stop").alias("stop_word"))
+    with small_batches(spark):
+        return Scratch(spark).cut(found, "matches")

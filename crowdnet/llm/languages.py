@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdnet.llm.words import slices, unused
+from crowdnet.llm.membership import rows_not_in
+from crowdnet.llm.words import slices, small_batches, unused
 from crowdnet.scratch import Scratch
 
 ORDERS = (4, 3, 2, 1)
@@ -154,7 +155,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_key: Col
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / sizes[k])))])
     key = F.pmod(F.xxhash64(sample_key if sample_key is not None else F.col(text), F.lit("train")), F.lit(1_000_003)) / 1_000_003.0
     picked = labelled.filter(key < F.try_element_at(share, F.col(lang))).select(text, lang)
-    counts = scratch.cut(picked.mapInArrow(_count, COUNTS).groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")), "counts")
+    with small_batches(spark):
+        counts = scratch.cut(picked.mapInArrow(_count, COUNTS).groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")), "counts")
     sums = {(r[0], r[1]): r[2] for r in counts.groupBy("kind", "lang").agg(F.sum("n")).collect()}
     by_gram = scratch.cut(counts.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "n")))).alias("by")), "grams")
     ids, grams, rows = {}, {n: {} for n in ORDERS}, []
@@ -182,6 +184,19 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_out: str =
     return docs.withColumn(own, predict(F.col(text))).withColumns({lang_out: F.col(f"{own}.lang"), score_out: F.col(f"{own}.score")}).drop(own)
 
 
+def without_languages(docs: DataFrame, model: Model, least_score: float, text: str = "text", prefix: str = "_lang_") -> DataFrame:
+    """docs without the rows that have no letter or no language of this score; prefix must not begin a column's name.
+
+    Only texts go through Python; the rows that go are told by two hashes of their texts, as equal texts are judged alike.
+    """
+    key = [F.xxhash64(F.col(f"`{text}`")), F.xxhash64(F.lit("other"), F.col(f"`{text}`"))]
+    judged = identify(docs.select(F.col(f"`{text}`").alias("text"), key[0].alias("k0"), key[1].alias("k1")), model)
+    spark = docs.sparkSession
+    with small_batches(spark):
+        gone = Scratch(spark).cut(judged.filter((F.col("lang_pred") == UND) | (F.col("score") < least_score)).select("k0", "k1"), "rejected")
+    return rows_not_in(docs, key, gone, prefix)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
@@ -189,5 +204,6 @@ def held_out(doc_id: Column) -> Column:
 def op2_langid(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs.filter(~held_out(F.col("doc_id"))), sample_key=F.col("doc_id"))
-    found = identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    with small_batches(spark):
+        return Scratch(spark).cut(found, "languages")

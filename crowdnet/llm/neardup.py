@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crowdnet.llm.membership import rows_in, rows_maybe_in, rows_not_in
-from crowdnet.llm.words import U64, list_column, mix64, shingle_sets, slices
+from crowdnet.llm.words import U64, list_column, mix64, shingle_sets, slices, small_batches
 from crowdnet.operators.components import components
 from crowdnet.scratch import Scratch
 
@@ -285,14 +285,16 @@ class _Run:
         return features, known.join(least, "part")
 
     def result(self) -> DataFrame:
-        features, classes = self.graph()
+        with small_batches(self.docs.sparkSession):
+            features, classes = self.graph()
         out = features.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", "component"), ["d1", "d2"], "left")
         out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
         return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
     def others(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, text_hash) of the rows that aren't the first of their component, and of firsts that are repeated."""
-        features, classes = self.graph()
+        with small_batches(self.docs.sparkSession):
+            features, classes = self.graph()
         rows = features.select("doc_id", "text_hash", "d1", "d2", "row").filter("doc_id IS NOT NULL").join(classes.select("d1", "d2", "part"), ["d1", "d2"])
         rows = self.scratch.cut(rows.groupBy("part", "doc_id", "text_hash").agg(F.count("*").alias("n")), "rows")
         first = rows.groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crowdnet.llm.mixing import uniform
-from crowdnet.llm.words import U64, grams, slices, unused, word_hashes
+from crowdnet.llm.words import U64, grams, slices, small_batches, unused, word_hashes
 from crowdnet.scratch import Scratch
 
 BUCKETS = 1 << 18
@@ -62,7 +62,8 @@ def fit(docs: DataFrame, examples: DataFrame, doc_id: str = "doc_id", text: str
     own = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id"))
     marked = own.join(F.broadcast(ids), F.col("id") == F.col("example"), "left")  # about limit ids
     counts = marked.select("text", F.col("example").isNotNull().alias("e")).mapInArrow(_counts, "bucket int, raw long, target long")
-    got = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    with small_batches(docs.sparkSession):
+        got = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = got.column("bucket").to_numpy()
     raw[at], target[at] = got.column("raw").to_numpy(), got.column("target").to_numpy()
@@ -97,7 +98,8 @@ def top_share(weighed: DataFrame, share: float, seed: int = 0) -> DataFrame:
     noise = -F.log(-F.log(F.greatest(uniform(F.lit(seed), F.col("doc_id")), F.lit(1e-16))))
     keyed = weighed.withColumn("gumbel_key", F.round(F.col("log_weight") + noise, 9))
     own = unused("row", keyed.columns)
-    d = Scratch(weighed.sparkSession).cut(keyed.withColumn(own, F.monotonically_increasing_id()), "keys")
+    with small_batches(weighed.sparkSession):
+        d = Scratch(weighed.sparkSession).cut(keyed.withColumn(own, F.monotonically_increasing_id()), "keys")
     whole = F.floor("gumbel_key")
     units = F.round((F.col("gumbel_key") - whole) * 1_000_000_000).cast("long")
     # the part and the place in it of the row, negated as the first ones are taken

@@ -7,13 +7,14 @@ times powers of an odd number by place, modulo 2 ** 64, read as a difference of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Rows and bytes of text that are worked on at once: texts may be long and a worker's memory is small.
-ROWS_IN_BATCH, BYTES_IN_BATCH = 2_048, 2_000_000
+ROWS_IN_BATCH, BYTES_IN_BATCH = 1_024, 1_000_000
 CACHED_WORDS = 300_000
 U64 = np.uint64
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U64)
@@ -47,7 +48,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
     """BASE ** k and its inverse for k below n at least."""
     if len(_powers[0]) < n:
         for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            steps = np.full(2 * n, U64(base))
+            steps = np.full(n + n // 4, U64(base))
             steps[0] = U64(1)
             _powers[k] = np.cumprod(steps)
     return _powers
@@ -121,6 +122,20 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, rows)
 
 
+@contextmanager
+def small_batches(spark) -> Iterator[None]:
+    """Batches that Spark sends to Python are small for what is run within, whatever the session has before and after."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS_IN_BATCH), "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * BYTES_IN_BATCH)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def list_column(values: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.ListArray:
     """A list column from all values in order and the size of each list."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, kind))
