@@ -20,9 +20,7 @@ SHARDS = 8
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language that is likely enough, go."""
     model = languages.fit(docs, sample_key=F.col("doc_id"))
-    names = {"lang_out": "_stage_lang", "score_out": "_stage_score"}
-    found = languages.identify(docs, model, **names)
-    return found.filter((F.col("_stage_lang") != languages.UND) & (F.col("_stage_score") >= LEAST_SCORE)).select(*docs.columns)
+    return languages.without_languages(docs, model, LEAST_SCORE, prefix="_stage_")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, exact or edited, go."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contaminations(docs, bench, out="_stage_matches")
-    return found.filter(F.size("_stage_matches") == 0).select(*docs.columns)
+    return decontaminate.without_contaminated(docs, bench, prefix="_stage_")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
