@@ -94,15 +94,17 @@ def masked(chats: DataFrame, out: str = "loss") -> DataFrame:
     d = chats.withColumn("_k", F.ceil(F.sqrt(F.size("loss_runs"))).cast("int"))
     d = d.withColumn("_parts", F.transform(F.sequence(F.lit(0), F.ceil(F.size("loss_runs") / F.col("_k")).cast("int") - 1), lambda p: F.slice("loss_runs", p * F.col("_k") + 1, F.col("_k"))))
     d = d.withColumn("_sizes", F.transform("_parts", lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, r: s + r["chars"])))
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("loss"))
+    none = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    starts = F.aggregate("_sizes", none, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+    begin = F.struct(F.lit(1).alias("at"), F.lit("").alias("loss"))
 
     def cut(text: Column, x: Column) -> Column:
         step = lambda s, r: F.struct((s["at"] + r["chars"]).cast("int").alias("at"), F.when(r["loss"], F.concat(s["loss"], F.substring(text, s["at"], r["chars"].cast("int")))).otherwise(s["loss"]).alias("loss"))
-        return F.aggregate(x, start, step, lambda s: s["loss"])
+        return F.aggregate(x, begin, step, lambda s: s["loss"])
 
-    begin = lambda i: F.aggregate(F.slice("_sizes", 1, i), F.lit(1).cast("long"), lambda s, n: s + n).cast("int")
-    d = d.withColumn("_texts", F.transform("_sizes", lambda n, i: F.substring("formatted", begin(i), n.cast("int"))))
-    return d.select(*names, unescape(F.array_join(F.transform("_parts", lambda x, i: cut(F.get("_texts", i), x)), "")).alias(out))
+    # arrays meet as arguments: what a function of elements refers to by name may be worked out again for each of them
+    texts = F.zip_with(starts, "_sizes", lambda at, n: F.substring("formatted", at.cast("int"), n.cast("int")))
+    return d.select(*names, unescape(F.array_join(F.zip_with(texts, "_parts", cut), "")).alias(out))
 
 
 def digest(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
