@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crowdnet.operators.query import incident, symmetric
+from crowdnet.operators.query import incident, numbered, symmetric
 from crowdnet.operators.ranking import running
 from crowdnet.scratch import Scratch
 
@@ -79,6 +80,20 @@ def compare_nodes(x: DataFrame, y: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.select("node", F.when(F.col("a") & F.col("b"), 0).when(F.col("a"), 1).when(F.col("b"), 2).otherwise(3).alias("flag"))
 
 
+def together(sets: DataFrame) -> DataFrame:
+    """(i, j) of nodes that are in a set together, of sets(set, node): gold pairs from pathways. Each pair is given once."""
+    d = sets.select("set", "node").distinct()
+    return d.select("set", F.col("node").alias("i")).join(d.select("set", F.col("node").alias("j")), "set").filter("i > j").select("i", "j").distinct()
+
+
+def negatives(nodes: DataFrame, gold: DataFrame) -> DataFrame:
+    """(i, j) of nodes(node) that aren't in gold. All pairs of nodes are made, as nearly all of them are the result."""
+    ids = numbered(nodes)
+    a, b = ids.select(F.col("node").alias("i"), F.col("id").alias("x")), ids.select(F.col("node").alias("j"), F.col("id").alias("y"))
+    pairs = a.filter("x > 0").select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x") - 1)).alias("y")).join(b, "y").select("i", "j")
+    return pairs.join(gold.select("i", "j"), ["i", "j"], "left_anti")
+
+
 def judged(net: DataFrame, gold: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
     """net with truth: true for gold pairs, false for the others (for negatives only, if given)."""
     d = net.join(gold.select("i", "j").distinct().withColumn("_g", F.lit(True)), ["i", "j"], "left")
@@ -192,6 +207,14 @@ def degree_counts(net: DataFrame) -> DataFrame:
     return symmetric(net).groupBy("node").count().groupBy(F.col("count").alias("degree")).agg(F.count("*").alias("nodes"))
 
 
+def resident(links: DataFrame) -> DataFrame:
+    """links(node, ...), a written table, dealt by node once and kept on executors' disks for the rounds of a loop.
+
+    Each round then shuffles values of nodes only. Lost parts are made again from the table.
+    """
+    return links.repartition("node").persist(StorageLevel.DISK_ONLY)
+
+
 def pagerank(net: DataFrame, rounds: int, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
     """(node, pagerank) after rounds of weighted steps from an even start, or fewer if the ranks move by less than tolerance in all.
 
@@ -200,7 +223,7 @@ def pagerank(net: DataFrame, rounds: int, damping: float = 0.85, tolerance: floa
     scratch = Scratch(net.sparkSession)
     links = symmetric(net.select("i", "j", "score"))
     out = links.groupBy("node").agg(F.sum("score").alias("all"))
-    links = scratch.cut(links.join(out, "node").select("node", "other", (F.col("score") / F.col("all")).alias("share")), "links")
+    links = resident(scratch.cut(links.join(out, "node").select("node", "other", (F.col("score") / F.col("all")).alias("share")), "links"))
     n = out.count()
     now = out.select("node", F.lit(1.0 / n).alias("p"))
     for _ in range(rounds):
@@ -212,4 +235,5 @@ def pagerank(net: DataFrame, rounds: int, damping: float = 0.85, tolerance: floa
                 now = after
                 break
         now = after
+    links.unpersist()
     return now.select("node", F.col("p").alias("pagerank"))

@@ -43,11 +43,11 @@ def expression(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample"), F.posexplode("embedding").alias("gene", "v")).select("sample", "gene", F.col("v").cast("double").alias("value"))
 
 
-def shipped_together(spark: SparkSession, sf: str, least: int = 1) -> DataFrame:
+def shipped_together(spark: SparkSession, sf: str) -> DataFrame:
     """(i, j, w): pairs of suppliers by the number of orders that both have lines in."""
     d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
     pairs = d.join(d.select("o", F.col("s").alias("t")), "o").filter("s > t").groupBy(F.col("s").alias("i"), F.col("t").alias("j")).agg(F.count("*").alias("n"))
-    return pairs.filter(F.col("n") >= least).select("i", "j", F.col("n").cast("double").alias("score"))
+    return pairs.select("i", "j", F.col("n").cast("double").alias("score"))
 
 
 FLOW_SQL = """f0 AS (SELECT s_nationkey AS a, c_nationkey AS b, round(sum(l_extendedprice), 2) AS revenue, CAST(count(*) AS DOUBLE) AS cnt, sum(l_quantity) AS qty, round(avg(l_discount), 6) AS avg_disc

@@ -197,11 +197,16 @@ def _(spark, sf):
 
 
 def _two(spark, sf):
-    keep = lambda a: D.one(spark, sf, a).filter("rank <= 120").select("i", "j", "score", "rank")
+    """The better two fifths of the edges of two networks."""
+
+    def keep(alg: str) -> DataFrame:
+        d = D.one(spark, sf, alg).select("i", "j", "score", "rank")
+        return d.crossJoin(F.broadcast(d.agg(F.count("*").alias("n")))).filter("5 * rank <= 2 * n").drop("n")  # one row
+
     return keep("revenue"), keep("avg_disc")
 
 
-_TWO = D.IMPORT_SQL + ", x AS (SELECT i, j, score, rank FROM imp WHERE alg = 'revenue' AND rank <= 120), y AS (SELECT i, j, score, rank FROM imp WHERE alg = 'avg_disc' AND rank <= 120)"
+_TWO = D.IMPORT_SQL + ", x AS (SELECT i, j, score, rank FROM imp WHERE alg = 'revenue' AND 5 * rank <= 2 * (SELECT count(*) FROM imp WHERE alg = 'revenue')), y AS (SELECT i, j, score, rank FROM imp WHERE alg = 'avg_disc' AND 5 * rank <= 2 * (SELECT count(*) FROM imp WHERE alg = 'avg_disc'))"
 _COMPARE = "z0 AS (SELECT i, j, CASE WHEN y.rank IS NULL THEN 1 WHEN x.rank IS NULL THEN 2 ELSE 0 END AS flag, coalesce(x.rank, 0.0) AS rank_a, coalesce(y.rank, 0.0) AS rank_b FROM x FULL JOIN y USING (i, j)), z AS (SELECT *, rank_a + rank_b AS rank FROM z0)"
 
 
@@ -226,8 +231,7 @@ _GOLD = "gold AS (SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JO
 
 
 def _gold(spark, sf):
-    n = D.table(spark, sf, "nation")
-    return n.select(F.col("n_nationkey").alias("i"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("j"), "n_regionkey"), "n_regionkey").filter("i > j").select("i", "j")
+    return networks.together(D.table(spark, sf, "nation").select(F.col("n_regionkey").alias("set"), F.col("n_nationkey").alias("node")))
 
 
 @register("gold_pairs", f"WITH {_GOLD} SELECT * FROM gold")
@@ -238,8 +242,7 @@ def _(spark, sf):
 @register("gold_negatives", "SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b ON a.n_regionkey <> b.n_regionkey AND a.n_nationkey > b.n_nationkey")
 def _(spark, sf):
     n = D.table(spark, sf, "nation")
-    pairs = n.select(F.col("n_nationkey").alias("i")).join(n.select(F.col("n_nationkey").alias("j")), F.col("i") > F.col("j"))
-    return pairs.join(_gold(spark, sf), ["i", "j"], "left_anti")
+    return networks.negatives(n.select(F.col("n_nationkey").alias("node")), _gold(spark, sf))
 
 
 _ROC = f"{D.fused_sql()}, {_GOLD}, e AS (SELECT net.*, CASE WHEN gold.i IS NULL THEN 0 ELSE 1 END AS t FROM net LEFT JOIN gold USING (i, j)), r AS (SELECT row_number() OVER o AS place, CAST(sum(t) OVER o AS BIGINT) AS tp, CAST(sum(1 - t) OVER o AS BIGINT) AS fp, sum(t) OVER () AS pos, sum(1 - t) OVER () AS neg FROM e WINDOW o AS (ORDER BY abs(score) DESC, i, j ROWS UNBOUNDED PRECEDING)), roc AS (SELECT place, tp, fp, tp / pos AS tpr, fp / neg AS fpr, tp / place AS ppv FROM r)"
@@ -299,23 +302,28 @@ def _(spark, sf):
     return query.sample(D.shipped_together(spark, sf), 50, seed=1, replacement=True)
 
 
-@register("components", f"""WITH RECURSIVE {D.COSHIP_SQL}, l AS (SELECT i, j FROM co WHERE score >= 9), s AS (SELECT i AS a, j AS b FROM l UNION ALL SELECT j, i FROM l),
-r AS (SELECT DISTINCT a AS node, a AS seen FROM s UNION SELECT s.b, r.seen FROM r JOIN s ON s.a = r.node) SELECT node, min(seen) AS component FROM r GROUP BY node""")
-def _(spark, sf):
-    return components.components(D.shipped_together(spark, sf, 9), a="i", b="j")
+_DENSE = D.COSHIP_SQL + ", l AS (SELECT i, j, score FROM co WHERE score > (SELECT avg(score) FROM co)), e AS (SELECT i AS node, j AS other, score FROM l UNION ALL SELECT j, i, score FROM l)"
 
 
-_SPARSE = D.COSHIP_SQL + ", l AS (SELECT i, j, score FROM co WHERE score >= 8)"
+def _above_mean(spark, sf):
+    net = D.shipped_together(spark, sf)
+    return net.crossJoin(F.broadcast(net.agg(F.avg("score").alias("mean")))).filter("score > mean").select("i", "j", "score")  # one row
 
 
-@register("triangles_transitivity", f"WITH {_SPARSE}, t AS (SELECT count(*) AS triangles FROM l a JOIN l b ON a.j = b.i JOIN l c ON c.i = a.i AND c.j = b.j), k AS (SELECT CAST(coalesce(sum(d * (d - 1) // 2), 0) AS BIGINT) AS triples FROM (SELECT n, count(*) AS d FROM (SELECT i AS n FROM l UNION ALL SELECT j FROM l) GROUP BY n)) SELECT triangles, triples, round(CASE WHEN triples > 0 THEN 3 * triangles / triples END, 9) AS transitivity FROM t, k")
+@register("components", f"""WITH RECURSIVE {_DENSE}, s AS (SELECT i AS a, j AS b FROM l UNION ALL SELECT j, i FROM l),
+r AS (SELECT DISTINCT a AS node, a AS seen FROM s UNION SELECT s.b, r.seen FROM r JOIN s ON s.a = r.node) SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def _(spark, sf):
-    return rounded(networks.triangles(D.shipped_together(spark, sf, 8)), transitivity=9)
+    return components.components(_above_mean(spark, sf), a="i", b="j")
 
 
-@register("degree_counts", f"WITH {_SPARSE} SELECT d AS degree, count(*) AS nodes FROM (SELECT n, count(*) AS d FROM (SELECT i AS n FROM l UNION ALL SELECT j FROM l) GROUP BY n) GROUP BY d")
+@register("triangles_transitivity", f"WITH {_DENSE}, t AS (SELECT count(*) AS triangles FROM l a JOIN l b ON a.j = b.i JOIN l c ON c.i = a.i AND c.j = b.j), k AS (SELECT CAST(coalesce(sum(d * (d - 1) // 2), 0) AS BIGINT) AS triples FROM (SELECT n, count(*) AS d FROM (SELECT i AS n FROM l UNION ALL SELECT j FROM l) GROUP BY n)) SELECT triangles, triples, round(CASE WHEN triples > 0 THEN 3 * triangles / triples END, 9) AS transitivity FROM t, k")
 def _(spark, sf):
-    return networks.degree_counts(D.shipped_together(spark, sf, 8))
+    return rounded(networks.triangles(_above_mean(spark, sf)), transitivity=9)
+
+
+@register("degree_counts", f"WITH {_DENSE} SELECT d AS degree, count(*) AS nodes FROM (SELECT n, count(*) AS d FROM (SELECT i AS n FROM l UNION ALL SELECT j FROM l) GROUP BY n) GROUP BY d")
+def _(spark, sf):
+    return networks.degree_counts(_above_mean(spark, sf))
 
 
 _CUTS = f"""{D.COSHIP_SQL}, b AS (SELECT floor(avg(score)) AS lo, max(score) AS hi FROM co), c AS (SELECT CAST(k AS INTEGER) AS step, CASE WHEN k = 10 THEN hi ELSE lo + k * ((hi - lo) / 10) END AS cut FROM b, range(11) t(k)),
@@ -343,14 +351,6 @@ def _(spark, sf):
     return thresholds.suggested(_sweep(spark, sf)).select("step", "nodes_rank", "edges_rank", "r2_rank", "transitivity_rank", "suggested")
 
 
-_DENSE = D.COSHIP_SQL + ", l AS (SELECT i, j, score FROM co WHERE score > (SELECT avg(score) FROM co)), e AS (SELECT i AS node, j AS other, score FROM l UNION ALL SELECT j, i, score FROM l)"
-
-
-def _above_mean(spark, sf):
-    net = D.shipped_together(spark, sf)
-    return net.crossJoin(F.broadcast(net.agg(F.avg("score").alias("mean")))).filter("score > mean").select("i", "j", "score")  # one row
-
-
 _HOPS = "".join(f", p{k} AS MATERIALIZED (SELECT source, node, min(d) AS d FROM (SELECT * FROM p{k - 1} UNION ALL SELECT p.source, e.other, p.d + e.score FROM p{k - 1} p JOIN e ON p.node = e.node) GROUP BY 1, 2)" for k in range(1, 5))
 
 
@@ -601,13 +601,8 @@ def _merged(spark, sf):
     return networks.merged_names(x, y.select((F.col("node") + 100).alias("node")), dictionary)
 
 
-def _few_genes(spark, sf):
-    """The expression table of ten genes: the regressions of all genes take long on one machine."""
-    return D.expression(spark, sf).filter("gene < 10")
-
-
-for _name, _options in {"genie3": {"models": 10}, "elnet": {"models": 5}, "tigress": {"models": 5}, "plsnet": {"models": 20}, "llr": {"models": 10}, "svm": {"models": 2, "samples": (40, 60)}, "narromi": {}}.items():
-    QUERIES[f"infer_{_name}"] = lambda spark, sf, n=_name, o=_options: rounded(ensembles.regress(_few_genes(spark, sf), ensembles.KERNELS[n](**o), seed=1), score=9)
+for _name, _options in {"genie3": {"models": 5}, "elnet": {"models": 1}, "tigress": {"models": 2}, "plsnet": {"models": 20}, "llr": {"models": 5}, "svm": {"models": 1}, "narromi": {}}.items():
+    QUERIES[f"infer_{_name}"] = lambda spark, sf, n=_name, o=_options: rounded(ensembles.regress(D.expression(spark, sf), ensembles.KERNELS[n](**o), seed=1), score=9)
 
 
 @register("mi_bspline")
@@ -637,15 +632,18 @@ def _spanning(spark, sf):
 
 @register("anoverence")
 def _anoverence(spark, sf):
-    """Forty samples as chips: four repeats of a control and of three treatments at each of two times and more."""
+    """All samples as chips: experiments of a control and four treatments, each repeated four times."""
     s = F.col("sample")
-    d = D.expression(spark, sf).filter("sample < 40")
+    d = D.expression(spark, sf)
     chips = d.select("sample").distinct().select("sample", F.floor(s / 20).alias("experiment"), F.when(F.floor(s / 4) % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("t"), F.floor(s / 4) % 5))).alias("perturbations"), F.lit(0.0).alias("time"), (s % 4 + 1).cast("int").alias("repeat"), F.array().cast("array<int>").alias("changed"))
     return rounded(perturbations.anoverence(d, chips), score=9)
 
 
 @register("differential_network")
 def _differential(spark, sf):
-    d = D.expression(spark, sf).filter("gene < 12")
-    ways = spark.range(12).select((F.col("id") % 3).alias("pathway"), F.col("id").cast("int").alias("gene"))
-    return rounded(perturbations.differential(d.filter("sample % 2 = 0"), d.filter("sample % 2 = 1"), ways, permutations=20, seed=1), distance=9, mean_permuted=9)
+    """Vectors of even labels against those of odd ones; genes are dealt into three pathways."""
+    d, labels = D.expression(spark, sf), D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample"), "label")
+    d = d.join(labels, "sample")
+    ways = d.select((F.col("gene") % 3).alias("pathway"), "gene").distinct()
+    even, odd = (d.filter(F.col("label") % 2 == k).select("sample", "gene", "value") for k in (0, 1))
+    return rounded(perturbations.differential(even, odd, ways, permutations=20, seed=1), distance=9, mean_permuted=9)
