@@ -63,6 +63,13 @@ def test_chat_round_trip(spark):
     assert {r["conv_id"]: r for r in chat.digest(moved).collect()}[1]["loss_sha256"] != d["loss_sha256"]
 
 
+def test_an_empty_table_still_has_the_added_conversation(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    (r,) = chat.op1_chat(spark, str(tmp_path)).collect()
+    text = "</s>[INST] ok [/INST]"
+    assert (r["conv_id"], r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (-7, 2, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_long_conversations_and_equal_turns(spark):
     rng = random.Random(4)
     turns = [(1, k, rng.choice(["user", "assistant"]), f"é{k}\\ <|end|> 😀") for k in range(400)] + [(2, None, "assistant", f"t{k:03}") for k in range(150)]
@@ -195,6 +202,51 @@ def test_alignment_matches_the_full_table():
         assert decontaminate.align(a, b)[0] == h.max()
 
 
+def test_matches_are_those_of_full_alignments(spark):
+    """Every text against every item, aligned over the whole of both."""
+    rng = random.Random(41)
+    items = [(k, sentence(rng, rng.randrange(4, 30)).split()) for k in range(8)]
+    docs = []
+    for k in range(60):
+        words_ = sentence(rng, rng.randrange(0, 30)).split()
+        for _ in range(rng.randrange(0, 3)):
+            part = list(rng.choice(items)[1])
+            lo = rng.randrange(0, len(part) // 2 + 1)
+            part = part[lo : lo + rng.randrange(3, len(part) + 1)]
+            for _ in range(rng.randrange(0, 4)):
+                part[rng.randrange(len(part))] = "zz"
+            words_ += part + sentence(rng, rng.randrange(0, 10)).split()
+        docs.append((k, words_))
+
+    def best(item, text):
+        """Score, aligned words and the longest run of equal words on the path."""
+        h = [[0] * (len(text) + 1) for _ in range(len(item) + 1)]
+        for i in range(1, len(item) + 1):
+            for j in range(1, len(text) + 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if item[i - 1] == text[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+        top, i, j = max((h[i][j], i, j) for i in range(len(item) + 1) for j in range(len(text) + 1))
+        same = run = longest = 0
+        while h[i][j]:
+            if h[i][j] == h[i - 1][j - 1] + (2 if item[i - 1] == text[j - 1] else -1):
+                same, run = (same + 1, run + 1) if item[i - 1] == text[j - 1] else (same, 0)
+                longest, i, j = max(longest, run), i - 1, j - 1
+            elif h[i][j] == h[i - 1][j] - 1:
+                i, run = i - 1, 0
+            else:
+                j, run = j - 1, 0
+        return top, same, longest
+
+    found = decontaminate.contaminations(spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"))
+    got = {(r["doc_id"], m["item_id"]): max(x["score"] for x in r["matches"] if x["item_id"] == m["item_id"]) for r in found.collect() for m in r["matches"]}
+    want = {}
+    for k, text in docs:
+        for i, item in items:
+            score, same, longest = best(item, text)
+            if score >= len(item) and same >= min(len(item), decontaminate.LEAST_WORDS) and longest >= min(3, len(item)):
+                want[k, i] = score / (2 * len(item))
+    assert len(want) > 20 and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 def test_aligned_words_are_counted_on_the_path():
     assert decontaminate.aligned_words(np.array([1, 2, 3, 4]), np.array([1, 2, 9, 3, 4])) == 4
     assert decontaminate.aligned_words(np.array([1, 2, 3, 4, 5]), np.array([1, 2, 8, 4, 5])) == 4
@@ -484,6 +536,22 @@ def test_log_weights_match_plain_counts(spark):
 # sharding
 
 
+def test_differencing_matches_the_textbook():
+    rng = random.Random(19)
+    for k in (2, 3, 5):
+        for n in (1, 2, 6, 9):
+            sizes = [rng.randrange(1, 40) for _ in range(n)]
+            parts = [[s] + [0] * (k - 1) for s in sizes]
+            while len(parts) > 1:
+                parts.sort(key=lambda p: p[-1] - p[0])  # sums in descending order: the first has the largest spread
+                a, b = parts.pop(0), parts.pop(0)
+                parts.append(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))
+            place = sharding.karmarkar_karp([[s] + [0] * (k - 1) for s in sizes])
+            sums = [sum(s for s, p in zip(sizes, place, strict=True) if p[0] == j) for j in range(k)]
+            assert sum(sums) == sum(sizes) and sums == sorted(sums, reverse=True)
+            assert sums[0] - sums[-1] == parts[0][0] - parts[0][-1]
+
+
 def test_karmarkar_karp_is_tight_and_whole(spark, odd_docs, no_docs, monkeypatch):
     rng = random.Random(9)
     sizes = [rng.randrange(1, 10_000) for _ in range(500)]
@@ -538,6 +606,36 @@ def test_pipeline_stages(spark, odd_docs, no_docs, tmp_path):
     assert {"shard", "slot"} <= set(seen.columns)
 
 
+def test_pipeline_keeps_one_of_each_group_and_no_item(spark, tmp_path):
+    """The stages together against brute force over all pairs and all alignments."""
+    rng = random.Random(23)
+    item = sentence(rng, 20)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    bases = [sentence(rng, 90).split() for _ in range(10)]
+    texts = []
+    for k in range(60):
+        t = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2, 6])):
+            t[rng.randrange(len(t))] = sentence(rng, 1)
+        texts.append((k, " ".join(t) + (f" {item}" if k % 9 == 0 else "")))
+    texts += [(60, "123 456"), (61, ""), (62, None)]
+    spark.createDataFrame([(k, t, "x", f"s{k % 2}", len(t or "")) for k, t in texts], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    seen = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        path = str(tmp_path / name)
+        stage(spark, seen, str(tmp_path)).write.parquet(path)
+        seen = spark.read.parquet(path)
+        kept.append(sorted(r["doc_id"] for r in seen.select("doc_id").collect()))
+    assert kept[0] == list(range(60))
+    first = [k for k, (_, root, _) in brute_components(texts[:60], 5, 80).items() if k == root]
+    assert kept[1] == first and kept[2] == [k for k in first if k % 9]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} <= set(kept[2]) and {r["shard"] for r in out} <= set(range(8))
+    for j in range(8):
+        assert sorted(r["slot"] for r in out if r["shard"] == j) == list(range(sum(r["shard"] == j for r in out)))
+
+
 def test_word_hashes_match_plain_splitting(monkeypatch):
     rng = random.Random(8)
     texts = ["", None, "a", " A  b\tc ", "Éa é\u00a0x\x0b\x0cy", "long" * 50] + ["".join(rng.choice("abAB \n\t\u20ac") for _ in range(rng.randrange(60))) for _ in range(200)]
