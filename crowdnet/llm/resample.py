@@ -2,9 +2,10 @@
 
 Words and pairs of words are hashed into BUCKETS. The raw model counts all documents, the target model the documents
 that are given as examples (a bounded sample of them). A document's log weight is the sum of
-log p_target - log p_raw over its n-grams; with ``center``, the mean of that log ratio under the target model is taken
-off for each n-gram, so that a long text isn't preferred for its length alone. Adding Gumbel noise hashed from the id
-and keeping the share with the largest sums draws a sample without replacement in proportion to the weights.
+log p_target - log p_raw over its n-grams: the logarithm of the ratio of both models' likelihoods. Adding Gumbel noise
+hashed from the id and keeping the share with the largest sums draws a sample without replacement in proportion to the
+weights. With ``center``, the mean of the log ratio under the target model is taken off for each n-gram, so that length
+alone counts for nothing.
 
 Defined results: a null or blank text has no n-grams and log weight 0; without examples all log weights are 0; of rows
 tied at the last place, as repeated rows are, as many as needed are taken in the order of the written table; rows with a
@@ -25,7 +26,7 @@ from crowdnet.scratch import Scratch
 
 BUCKETS = 1 << 18
 #: Added to every bucket of both models, which are scaled to the target's size first.
-SMOOTH = 20.0
+SMOOTH = 6.0
 #: The target model is fitted on at most about this many examples.
 EXAMPLES = 50_000
 SHARE = 0.75
@@ -50,7 +51,7 @@ def _counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
 
-def fit(docs: DataFrame, examples: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = EXAMPLES, center: bool = True) -> np.ndarray:
+def fit(docs: DataFrame, examples: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = EXAMPLES, center: bool = False) -> np.ndarray:
     """Log ratio by bucket. examples: ids of target documents; about limit of them are used, picked by a hash.
 
     The driver gets one row for each bucket at most.
