@@ -12,6 +12,7 @@ from crowdnet.operators import association, centrality, clusters, components, co
 from crowdnet.plans import datasets as D
 from crowdnet.scratch import Scratch
 from crowdnet.sources import store, text
+from crowdnet.streaming import strength as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -647,3 +648,18 @@ def _differential(spark, sf):
     ways = d.select((F.col("gene") % 3).alias("pathway"), "gene").distinct()
     even, odd = (d.filter(F.col("label") % 2 == k).select("sample", "gene", "value") for k in (0, 1))
     return rounded(perturbations.differential(even, odd, ways, permutations=20, seed=1), distance=9, mean_permuted=9)
+
+
+@register("stream_strength", """WITH e AS (SELECT ts, 'user ' || user_id AS i, event_type AS j, value AS score FROM events), n AS (SELECT ts, i AS node, score FROM e UNION ALL SELECT ts, j, score FROM e)
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, node, round(sum(score), 6) AS strength, count(*) AS degree FROM n GROUP BY 1, 2""")
+def _stream_strength(spark, sf):
+    """Events as edges between users and types, read as a stream; strength by node and day."""
+    schema = D.table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")  # a pattern: a path of a stream must be a folder
+    # times without a zone are taken as UTC, whatever the session's zone
+    ts = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts")
+    edges = events.select(ts, F.concat(F.lit("user "), "user_id").alias("i"), F.col("event_type").alias("j"), F.col("value").alias("score"))
+    scratch = Scratch(spark)
+    found = streams.run_to_end(streams.windowed_strength(edges, "ts", "1 day", "40 days"), scratch.path("strength"), scratch.path("state"))
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86_400).cast("int")).cast("string")
+    return rounded(found.select(day.alias("day"), "node", "strength", "degree"), strength=6)

@@ -11,3 +11,14 @@ def windowed_strength(edges: DataFrame, time: str, window: str, late: str) -> Da
     d = edges.withWatermark(time, late).select(F.col(time), F.explode(F.array("i", "j")).alias("node"), "score")
     d = d.groupBy(F.window(time, window).alias("w"), "node").agg(F.sum("score").alias("strength"), F.count("*").alias("degree"))
     return d.select(F.col("w.start").alias("start"), "node", "strength", "degree")
+
+
+def run_to_end(stream: DataFrame, path: str, state: str) -> DataFrame:
+    """The whole result of an aggregated stream after all that is there now, written to path as often as it changes.
+
+    state keeps the stream's progress, so a run that is ended goes on where it was.
+    """
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
