@@ -264,7 +264,8 @@ def stats(net: Network, index: int = 0, metrics: tuple[str, ...] = (*NODE_MEASUR
         nodes = nodes.join(found.select("node", F.col(found.columns[-1]).alias(m)), "node", "left")
     edges = net.edges
     name = algorithms(net)[index - 1]
-    for m, found in (("SEC", centrality.spanning_edges(d) if "SEC" in metrics else None), ("EBC", between[1] if "EBC" in metrics else None)):
+    spanning = (centrality.spanning_edges(d) if nsamples is None else centrality.approximate_spanning_edges(d)) if "SEC" in metrics else None
+    for m, found in (("SEC", spanning), ("EBC", between[1] if "EBC" in metrics else None)):
         if found is not None:
             edges = edges.join(found.select("i", "j", F.lit(name).alias("alg"), F.col(found.columns[-1]).alias(m)), ["i", "j", "alg"], "left")
     return Network(net.nodes, edges, nodes, dict(net.meta))

@@ -52,3 +52,38 @@ def components(edges: DataFrame, scratch: Scratch | None = None, a: str = "a", b
     known = found.union(roots)
     alone = loops.join(known, loops["a"] == known["node"], "left_anti").select(F.col("a").alias("node"), F.col("a").alias("component"))
     return known.union(alone)
+
+
+def strong_components(edges: DataFrame, scratch: Scratch | None = None, source: str = "source", target: str = "target") -> DataFrame:
+    """(node, component) for every node of a directed edge; component is the smallest node that it reaches and that reaches it.
+
+    Every node takes on the largest node that reaches it; of the nodes that took on r, those that reach r are r's component.
+    They go, as do edges between nodes that took on different ones, and the rest begins anew. Every round is written.
+    """
+    scratch = scratch or Scratch(edges.sparkSession)
+    links = scratch.cut(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s IS NOT NULL AND t IS NOT NULL").distinct(), "links")
+    nodes = scratch.cut(links.select(F.col("s").alias("node")).union(links.select("t")).distinct(), "nodes")
+    links = links.filter("s <> t")
+    done = None
+    while not nodes.isEmpty():
+        color = nodes.select("node", F.col("node").alias("color"))
+        while True:
+            got = links.join(color.withColumnRenamed("node", "s"), "s").groupBy(F.col("t").alias("node")).agg(F.max("color").alias("other"))
+            after = scratch.cut(color.join(got, "node", "left").select("node", F.greatest("color", F.coalesce("other", "color")).alias("color"), (F.col("other") > F.col("color")).alias("moved")), "colors")
+            color = after.select("node", "color")
+            if after.filter("moved").isEmpty():
+                break
+        side = lambda c: color.select(F.col("node").alias(c), F.col("color").alias(f"color_{c}"))
+        inner = scratch.cut(links.join(side("s"), "s").join(side("t"), "t").filter("color_s = color_t").select("s", "t", F.col("color_s").alias("color")), "inner")
+        found = new = scratch.cut(color.filter("node = color"), "found")
+        while not new.isEmpty():
+            back = inner.join(new.select(F.col("node").alias("t")), "t").select(F.col("s").alias("node"), "color").distinct()
+            new = scratch.cut(back.join(found.select("node"), "node", "left_anti"), "new")
+            found = scratch.cut(found.unionByName(new), "found")
+        least = found.groupBy("color").agg(F.min("node").alias("component"))
+        own = found.join(least, "color").select("node", "component")
+        done = scratch.cut(own if done is None else done.unionByName(own), "done")
+        nodes = scratch.cut(nodes.join(found.select("node"), "node", "left_anti"), "nodes")
+        left = inner.join(found.select(F.col("node").alias("s")), "s", "left_anti").join(found.select(F.col("node").alias("t")), "t", "left_anti")
+        links = scratch.cut(left.select("s", "t"), "links")
+    return done if done is not None else nodes.select("node", F.col("node").alias("component"))

@@ -663,3 +663,13 @@ def _stream_strength(spark, sf):
     found = streams.run_to_end(streams.windowed_strength(edges, "ts", "1 day", "40 days"), scratch.path("strength"), scratch.path("state"))
     day = F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86_400).cast("int")).cast("string")
     return rounded(found.select(day.alias("day"), "node", "strength", "degree"), strength=6)
+
+
+@register("strong_components", f"""WITH RECURSIVE {D.fused_sql()}, h AS (SELECT median(score) AS m FROM net), d AS (SELECT i AS s, j AS t FROM net, h WHERE direction <> 2 AND score > m UNION ALL SELECT j, i FROM net, h WHERE direction <> 1 AND score > m),
+r AS (SELECT s AS a, t AS b FROM d UNION SELECT r.a, d.t FROM r JOIN d ON d.s = r.b), n AS (SELECT DISTINCT unnest([s, t]) AS node FROM d),
+m AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) SELECT n.node, least(n.node, coalesce(min(other), n.node)) AS component FROM n LEFT JOIN m USING (node) GROUP BY n.node""")
+def _strong(spark, sf):
+    """Of the directed half of a consensus network with the better scores."""
+    net = D.fused(spark, sf)
+    half = net.crossJoin(F.broadcast(net.agg(F.median("score").alias("m")))).filter("score > m")  # one row
+    return components.strong_components(query.directed(half))

@@ -145,6 +145,8 @@ def test_kernels_of_support_vectors_and_bounds(spark):
     with pytest.raises(ValueError, match="kernel"):
         ensembles.svm(models=1, kernel="none")(x[:, 1:], x[:, 0], np.random.default_rng(1))
     assert ensembles.votes(np.array([0.0, -3.0, 1.0])).tolist() == [0, 1, 0]
+    sig = ensembles.significance(np.array([0.0, 0.2, 0.5, 1.0, 0.1]))
+    assert sig[3] == sig[2] == sig.min() and sig[0] == sig.max() and (0 < sig).all() and (sig < 1).all()
     beta = ensembles.least_deviations(x[:, [0, 2]], 2 * x[:, 0])
     assert abs(beta[0] - 2) < 1e-3 and abs(beta[1]) < 1e-3
     lam, slopes, c = ensembles.lasso_path(x[:, 1:], x[:, 0], 5, 0.01)
@@ -241,6 +243,8 @@ def test_spanning_edges_match_all_trees(spark):
     for i, j, w in edges[:5]:
         assert abs(got[i, j] - sum(v for t, v in weight.items() if (i, j, w) in t) / sum(weight.values())) < 1e-9
     assert abs(got[5, 4] - 1) < 1e-9
+    near = {(r["i"], r["j"]): r["spanning"] for r in centrality.approximate_spanning_edges(spark.createDataFrame(edges, "i int, j int, score double"), 2000, seed=4).collect()}
+    assert near.keys() == got.keys() and all(abs(near[k] - v) < 5 * (v * (1 - v) / 2000) ** 0.5 + 1e-9 for k, v in got.items())
 
 
 def test_rounds_end_when_nothing_moves(spark):

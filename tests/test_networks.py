@@ -131,3 +131,20 @@ def test_correlation_matches_numpy(spark):
         assert abs(r["score"] - want[r["i"], r["j"]]) < 1e-9
     for kind in ("unsigned", "signed", "hybrid"):
         assert all(-1e-9 <= r["score"] <= 1 + 1e-9 for r in association.tom(association.pearson(expr), 2, kind).collect())
+
+
+def test_strong_components_match_reachability(spark):
+    rng = random.Random(31)
+    for n, m in ((8, 10), (20, 30), (30, 25)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        reach = {v: {v} for e in edges for v in e}
+        for _ in range(n):
+            for a, b in edges:
+                reach[a] |= reach[b]
+        for _ in range(n):
+            for a, b in edges:
+                reach[a] |= reach[b]
+        want = {v: min(u for u in own if v in reach[u]) for v, own in reach.items()}
+        got = {r["node"]: r["component"] for r in components.strong_components(spark.createDataFrame(edges, "source int, target int")).collect()}
+        assert got == want
+    assert components.strong_components(spark.createDataFrame([], "source int, target int")).count() == 0
