@@ -84,17 +84,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     has_head = F.locate(GAP, F.col("text")) > 0
     raw = raw.withColumn("text", F.decode("body", "ISO-8859-1")).withColumn("head", F.when(has_head, F.concat(F.substring_index("text", GAP, 1), F.lit("\r\n"))))
     length = F.expr("try_cast(" + r"regexp_extract(head, '(?im)^Content-Length: *([0-9]+)', 1)" + " as long)")
-    raw = raw.select("file", "block", "row", "size", "body", F.length("head").cast("long").alias("head_size"), length.alias("length"), _field("WARC-Type").alias("type"), _field("WARC-Record-ID").alias("id"), _field("WARC-Refers-To").alias("refers_to"), F.regexp_extract(_field("WARC-Payload-Digest"), "^(?:sha1:)?(.*)$", 1).alias("digest"))
+    raw = raw.select("file", F.xxhash64("file").alias("fid"), "block", "row", "size", "body", F.length("head").cast("long").alias("head_size"), length.alias("length"), _field("WARC-Type").alias("type"), _field("WARC-Record-ID").alias("id"), _field("WARC-Refers-To").alias("refers_to"), F.regexp_extract(_field("WARC-Payload-Digest"), "^(?:sha1:)?(.*)$", 1).alias("digest"))
     stored = scratch.path("pieces")
     raw.write.option("compression", "zstd").parquet(stored)
     raw = spark.read.schema(raw.schema).parquet(stored)
 
-    splits = raw.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
+    # from here on a file is the hash of its name, which is shorter to shuffle
+    ids = raw.select(F.col("fid").alias("file"), "block", "row", "size", "head_size", "length")
+    splits = ids.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     before = F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("file", "block", F.coalesce(before, F.lit(0)).alias("start"))
     in_split = F.sum("size").over(Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     # the piece before the first magic is what a file starts with instead of a magic: empty in a sound file
-    light = raw.select("file", "block", "row", "size", "head_size", "length").withColumn("inside", F.coalesce(in_split, F.lit(0)))
+    light = ids.withColumn("inside", F.coalesce(in_split, F.lit(0)))
     light = light.join(splits, ["file", "block"]).withColumn("at", F.col("start") + F.col("inside") - len(MAGIC))
     ends = F.col("at") + len(MAGIC) + F.col("head_size") + len(GAP) - 2 + F.col("length")
     light = light.select("file", "block", "row", "at", "size", ends.alias("content_end"), (ends + len(GAP)).alias("next"))
@@ -117,16 +119,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     odd = scratch.cut(odd, "odd")
     if odd.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         odd = F.broadcast(odd)
-    same = (F.col("f") == F.col("file")) & (F.col("r") == F.col("row"))
+    same = (F.col("f") == F.col("fid")) & (F.col("r") == F.col("row"))
     start = (F.col("head_size") + len(GAP) - 2 + 1).cast("int")
     names = ["file", "type", "id", "refers_to", "digest"]
     plain = raw.filter("head_size IS NOT NULL").join(odd, same, "left_anti").select(*names, F.substring("body", start, F.col("length").cast("int")).alias("payload"))
     joined = raw.join(odd.filter("owner_row IS NOT NULL"), same)
     # a payload that holds the magic is in several pieces
     magic = F.encode(F.lit(MAGIC), "UTF-8")
-    rest = joined.filter("r <> owner_row").groupBy("file", "at").agg(F.sort_array(F.collect_list(F.struct("piece_at", "body"))).alias("more"))
-    rest = rest.select(F.col("file").alias("f2"), F.col("at").alias("at2"), F.aggregate("more", F.encode(F.lit(""), "UTF-8"), lambda s, x: F.concat(s, magic, x["body"])).alias("more"))
-    whole = joined.filter("r = owner_row").join(rest, (F.col("file") == F.col("f2")) & (F.col("at") == F.col("at2")))
+    rest = joined.filter("r <> owner_row").groupBy("fid", "at").agg(F.sort_array(F.collect_list(F.struct("piece_at", "body"))).alias("more"))
+    rest = rest.select(F.col("fid").alias("f2"), F.col("at").alias("at2"), F.aggregate("more", F.encode(F.lit(""), "UTF-8"), lambda s, x: F.concat(s, magic, x["body"])).alias("more"))
+    whole = joined.filter("r = owner_row").join(rest, (F.col("fid") == F.col("f2")) & (F.col("at") == F.col("at2")))
     return plain.union(whole.select(*names, F.substring(F.concat("body", "more"), start, F.col("length").cast("int")).alias("payload")))
 
 
