@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crowdnet.llm.hot import join_groups
 from crowdnet.llm.membership import rows_in, rows_maybe_in, rows_not_in
 from crowdnet.llm.words import U64, list_column, mix64, shingle_sets, slices, small_batches
 from crowdnet.operators.components import components
@@ -222,16 +223,17 @@ class _Run:
         m = shared.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         m = members = self.scratch.cut(m, "members")
         # buckets of two have been compared
-        wide = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("key")
-        m = self.scratch.cut(m.join(wide, "key").join(reps.select("node", "n_shingles"), "node"), "open")
-        self.scratch.drop(members)
+        wide = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("key", "n")
+        wide = self.scratch.cut(wide, "wide")
+        m = self.scratch.cut(join_groups(m, wide, ["key"], "n").join(reps.select("node", "n_shingles"), "node"), "open")
+        self.scratch.drop(members, wide)
         if m.isEmpty():
             return None
         by_part = m.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
         sizes = by_part.groupBy("key").agg(F.sum("n").alias("size"), F.sum("shingles").alias("shingles"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("major"))
         blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-        sizes = sizes.select("key", "major", blocks.alias("right_blocks"), F.ceil((F.col("size") - F.col("most")) * blocks / F.col("size")).cast("int").alias("left_blocks"))
-        m = m.join(sizes, "key").withColumn("minor", F.col("component") != F.col("major")).drop("major")
+        sizes = sizes.select("key", "size", "major", blocks.alias("right_blocks"), F.ceil((F.col("size") - F.col("most")) * blocks / F.col("size")).cast("int").alias("left_blocks"))
+        m = join_groups(m, self.scratch.cut(sizes, "sizes"), ["key"], "size").withColumn("minor", F.col("component") != F.col("major")).drop("major")
         at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         names = ["key", "node", "component", "minor", "left", "i", "j"]
@@ -271,8 +273,9 @@ class _Run:
         reps = full.join(classes.select("node"), full["row"] == classes["node"], "left_semi")
         reps = self.scratch.cut(reps.select(F.col("row").alias("node"), "n_shingles", "signature", "bands"), "reps")
         keys = reps.select("node", F.explode("bands").alias("key"))
-        centers = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last").select("key", "center")
-        shared = self.scratch.cut(keys.join(centers, "key"), "shared")
+        centers = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count("*").alias("n"))
+        centers = self.scratch.cut(centers.filter("center < last").select("key", "center", "n"), "centers")
+        shared = self.scratch.cut(join_groups(keys, centers, ["key"], "n"), "shared")
         star = shared.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
         links = self.confirmed(star, reps, classes)
         parts = self.scratch.cut(components(links, self.scratch), "parts")
@@ -280,9 +283,9 @@ class _Run:
         if more is not None and not more.isEmpty():
             parts = self.scratch.cut(components(links.union(more), self.scratch), "parts")
         self.scratch.drop(shared, reps)
-        known = classes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        least = known.groupBy("part").agg(F.min("rep").alias("component"))
-        return features, known.join(least, "part")
+        known = self.scratch.cut(classes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "known")
+        least = self.scratch.cut(known.groupBy("part").agg(F.min("rep").alias("component"), F.count("*").alias("n")), "least")
+        return features, join_groups(known, least, ["part"], "n")
 
     def result(self) -> DataFrame:
         with small_batches(self.docs.sparkSession):
@@ -297,8 +300,8 @@ class _Run:
             features, classes = self.graph()
         rows = features.select("doc_id", "text_hash", "d1", "d2", "row").filter("doc_id IS NOT NULL").join(classes.select("d1", "d2", "part"), ["d1", "d2"])
         rows = self.scratch.cut(rows.groupBy("part", "doc_id", "text_hash").agg(F.count("*").alias("n")), "rows")
-        first = rows.groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-        rows = rows.join(first, "part").withColumn("is_first", F.struct("doc_id", "text_hash") == F.col("first"))
+        first = rows.groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("size"))
+        rows = join_groups(rows, self.scratch.cut(first, "first"), ["part"], "size").withColumn("is_first", F.struct("doc_id", "text_hash") == F.col("first"))
         rows = self.scratch.cut(rows.select("doc_id", "text_hash", "n", "is_first"), "firsts")
         return rows.filter("NOT is_first").select("doc_id", "text_hash"), rows.filter("is_first AND n > 1").select("doc_id", "text_hash")
 

@@ -22,13 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crowdnet.llm.hot import join_groups
 from crowdnet.scratch import Scratch
 
 BIN = 16_384
 #: Rows in one run of slots.
 RUN = 50_000
-#: Groups of more rows than this, and than one in HOT_GROUPS of all rows, are joined by a broadcast of HOT_GROUPS rows at most.
-HOT, HOT_GROUPS = 50_000, 10_000
 
 
 def karmarkar_karp(sizes: list[list[int]]) -> list[list[int]]:
@@ -120,13 +119,7 @@ def assign_groups(groups: DataFrame, shards: int, scratch: Scratch) -> DataFrame
 def with_shards(rows: DataFrame, groups: DataFrame, shards: int, scratch: Scratch, out: str) -> DataFrame:
     """rows(k1, k2, ...) with the shard of their group (k1, k2, size, n); rows must be a table that is cheap to read twice."""
     place = scratch.cut(groups.join(assign_groups(groups.select("k1", "k2", "size"), shards, scratch), ["k1", "k2"]).select("k1", "k2", "n", F.col("shard").alias(out)), "place")
-    most = max(HOT, place.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_GROUPS)
-    hot = place.filter(F.col("n") > most).drop("n")
-    place = place.filter(F.col("n") <= most).drop("n")
-    if hot.isEmpty():
-        return rows.join(place, ["k1", "k2"])
-    hot = F.broadcast(hot)  # HOT_GROUPS rows at most
-    return rows.join(hot, ["k1", "k2"], "left_anti").join(place, ["k1", "k2"]).unionByName(rows.join(hot, ["k1", "k2"]))
+    return join_groups(rows, place, ["k1", "k2"], "n")
 
 
 def shard_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = 8, scratch: Scratch | None = None, out: str = "_shard", slot: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from crowdnet.llm import chat, decontaminate, languages, mixing, neardup, passages, quality, resample, sharding, warc, words
+from crowdnet.llm import chat, decontaminate, hot, languages, mixing, neardup, passages, quality, resample, sharding, warc, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -293,6 +293,8 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     rng.shuffle(docs)
     monkeypatch.setattr(neardup, "BLOCK", 4)
     monkeypatch.setattr(neardup, "PACK", 10)
+    monkeypatch.setattr(hot, "HOT", 3)
+    monkeypatch.setattr(hot, "HOT_GROUPS", 10**9)
     d = spark.createDataFrame(docs, "doc_id long, text string")
     for n, percent in ((3, 85), (5, 80)):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(d, shingle=n, percent=percent).collect()}
@@ -463,8 +465,11 @@ def test_exact_repeats_are_found_beside_smaller_parts(spark, whole, part):
     assert all(group[4 * k + 2] // 4 == k for k in range(150))
 
 
-def test_repeated_passages_match_brute_force(spark):
+@pytest.mark.parametrize("large", [3, 50_000])
+def test_repeated_passages_match_brute_force(spark, large, monkeypatch):
     """Every pair of texts with 50 equal words in a row is in one group, and no text without any is reported."""
+    monkeypatch.setattr(hot, "HOT", large)
+    monkeypatch.setattr(hot, "HOT_GROUPS", 10**9)
     rng = random.Random(77)
     pool = [sentence(rng, rng.randrange(50, 90)).split() for _ in range(8)]
     docs = []
@@ -570,8 +575,8 @@ def test_karmarkar_karp_is_tight_and_whole(spark, odd_docs, no_docs, monkeypatch
     assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
     assert len({r["_shard"] for r in out if r["doc_id"] >= 900}) == 1
     assert sharding.shard_rows(no_docs, slot="slot").count() == 0
-    monkeypatch.setattr(sharding, "HOT", 2)
-    monkeypatch.setattr(sharding, "HOT_GROUPS", 10**9)
+    monkeypatch.setattr(hot, "HOT", 2)
+    monkeypatch.setattr(hot, "HOT_GROUPS", 10**9)
     hostile = odd_docs.withColumns({c: F.lit(-5) for c in ("k1", "k2", "row", "id", "size", "n", "run", "place", "own", "bin", "_g1", "_k1")})
     got = sharding.shard_rows(hostile.union(hostile.limit(3)), shards=3, slot="slot")
     assert got.columns == [*hostile.columns, "_shard", "slot"] and got.filter("k1 <> -5 OR n <> -5 OR place <> -5").count() == 0
@@ -652,6 +657,17 @@ def test_word_hashes_match_plain_splitting(monkeypatch):
     assert [len(x) for x in sets] == [1, 1, 0, 1, 1] and sets[0] == sets[3] and sets[1] != sets[4]
 
 
+def test_groups_join_alike_large_or_small(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 7 * (k % 3 > 0), k) for k in range(90)] + [(None, -1)], "key long, v long")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("v").alias("most")).filter("key < 5")
+    want = {how: sorted(map(tuple, rows.join(groups.drop("n"), "key", how).collect())) for how in ("inner", "left_semi")}
+    for large in (0, 15, 1000):
+        monkeypatch.setattr(hot, "HOT", large)
+        monkeypatch.setattr(hot, "HOT_GROUPS", 10**9)
+        for how in want:
+            assert sorted(map(tuple, hot.join_groups(rows, groups, ["key"], "n", how).collect())) == want[how]
+
+
 def test_membership_is_exact(spark):
     from crowdnet.llm.membership import rows_in, rows_not_in
 
