@@ -580,7 +580,8 @@ SELECT node, round(CASE WHEN nx > 0 AND ny > 0 THEN s / sqrt(CAST(nx * ny AS DOU
 def _tau_orthologs(spark, sf):
     n = D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("old"))
     both = n.select("old", F.col("old").alias("new")).union(n.select("old", (F.col("old") + 5) % 25))
-    return rounded(networks.kendall(D.one(spark, sf, "revenue"), networks.orthologs(D.one(spark, sf, "qty").select("i", "j", "score"), both)), tau=9)
+    out = networks.kendall(D.one(spark, sf, "revenue"), networks.orthologs(D.one(spark, sf, "qty").select("i", "j", "score"), both))
+    return rounded(out.withColumn("node", F.col("node").cast("long")), tau=9)
 
 
 @register("tom_power_fits", f"""WITH {_PEARSON}, pw AS (SELECT 2 * p AS power FROM range(1, 16) t(p)), sk AS (SELECT power, n, sum(pow((1 + score) / 2, power)) AS k FROM pw, (SELECT i AS n, score FROM cor UNION ALL SELECT j, score FROM cor) GROUP BY 1, 2),
