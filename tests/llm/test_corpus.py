@@ -465,6 +465,23 @@ def test_exact_repeats_are_found_beside_smaller_parts(spark, whole, part):
     assert all(group[4 * k + 2] // 4 == k for k in range(150))
 
 
+@pytest.mark.parametrize("large", [4, 1_024])
+def test_edited_repeats_are_found_beside_many_smaller_parts(spark, large, monkeypatch):
+    """A passage and one with an edit, which only resemble each other, and eight texts of smaller ids with parts of it."""
+    monkeypatch.setattr(passages, "LARGE", large)
+    rng = random.Random(91)
+    docs = []
+    for k in range(60):
+        p, at = sentence(rng, 60).split(), rng.randrange(60)
+        parts = [p[a : a + 38] for a in (rng.randrange(0, 23) for _ in range(8))]
+        for j, words_ in enumerate((*parts, p, p[:at] + ["zzzzzzzzz"] + p[at + 1 :])):
+            docs.append((10 * k + j, " ".join([*sentence(rng, 30).split(), *words_, *sentence(rng, 30).split()])))
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    group = {r["doc_id"]: r["group_id"] for r in got}
+    assert [k for k in range(60) if 10 * k + 8 not in group or group[10 * k + 8] != group.get(10 * k + 9)] == []
+    assert all(group[k] // 10 == k // 10 for k in group)
+
+
 @pytest.mark.parametrize("large", [3, 50_000])
 def test_repeated_passages_match_brute_force(spark, large, monkeypatch):
     """Every pair of texts with 50 equal words in a row is in one group, and no text without any is reported."""
