@@ -482,6 +482,28 @@ def test_edited_repeats_are_found_beside_many_smaller_parts(spark, large, monkey
     assert all(group[k] // 10 == k // 10 for k in group)
 
 
+def test_a_group_of_repeated_words_needs_few_comparisons(monkeypatch):
+    """Runs of one word that cross from one to the next: places in a group are many, and most pairs resemble each other in one shingle only."""
+    rng, rows = random.Random(5), []
+    for doc in range(8):
+        runs = [rng.choice(("z", f"a{rng.randrange(30)}", f"b{doc}")) for _ in range(20)]
+        x = words.text_grams(pa.array([" ".join(w for r in runs for w in [r] * rng.randrange(25, 40))]), passages.SHINGLE)[0].astype(np.uint32).view(np.int32)
+        z = words.text_grams(pa.array(["z z z z z"]), passages.SHINGLE)[0].astype(np.uint32).view(np.int32)[0]
+        for c in np.flatnonzero(x == z)[::12].tolist():
+            lo = max(0, c - passages.AROUND)
+            rows.append((1, doc, 1, c, c - lo, x[lo : c + passages.AROUND + 1].tolist()))
+    names = ["key", "doc_id", "open", "place", "at", "around"]
+    table = pa.table([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)], names=names)
+    pairs = [(a, b) for a in rows for b in rows if a[1] != b[1]]
+    similar = [(a, b) for a, b in pairs if passages.passage_at(np.array(a[5]), np.array(b[5]), a[4], passages.LEAST_SIMILARITY, [], b[4])]
+    calls, compare = [], passages.passage_at
+    monkeypatch.setattr(passages, "passage_at", lambda *x: calls.append(1) or compare(*x))
+    got = passages._links(passages.LEAST_SIMILARITY)(table).to_pylist()
+    assert {(a[1], a[3]) for a, _ in similar} <= {(r["doc_id"], r["place"]) for r in got}
+    assert {r["doc_id"] for r in got} <= {a[1] for pair in similar for a in pair}
+    assert similar and len(calls) < len(pairs) / 20
+
+
 @pytest.mark.parametrize("large", [3, 50_000])
 def test_repeated_passages_match_brute_force(spark, large, monkeypatch):
     """Every pair of texts with 50 equal words in a row is in one group, and no text without any is reported."""
