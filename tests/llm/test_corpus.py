@@ -504,6 +504,38 @@ def test_a_group_of_repeated_words_needs_few_comparisons(monkeypatch):
     assert similar and len(calls) < len(pairs) / 20
 
 
+def test_runs_of_one_word_are_grouped_by_their_ends():
+    """All texts have a run of one word, which alone is no reason to compare them; similar ones are still found."""
+    rng, texts = random.Random(12), []
+    for _ in range(60):
+        a, b, n = f"a{rng.randrange(8)}", f"b{rng.randrange(8)}", rng.randrange(25, 60)
+        texts.append((a, b, n, words.text_grams(pa.array([" ".join([a] * rng.randrange(8, 30) + ["z"] * n + [b] * rng.randrange(8, 30))]), passages.SHINGLE)[0]))
+    found, groups, windows = [], {}, []
+    for k, (_, _, _, x) in enumerate(texts):
+        key, _, c, _ = passages.halves(x, np.array([0]), np.array([len(x)]))
+        found.append((key, c))
+        windows.append({frozenset(x[i : i + passages.LEAST].tolist()) for i in range(len(x) - passages.LEAST + 1)})
+        for i in key.tolist():
+            groups.setdefault(i, set()).add(k)
+    for own in groups.values():
+        left, right, n = zip(*(texts[k][:3] for k in own), strict=True)
+        assert len(set(left)) == 1 or len(set(right)) == 1 or min(n) >= passages.LEAST_WORDS
+    similar = [(i, j) for i in range(60) for j in range(i) if any(len(x & y) >= 0.8 * len(x | y) for x in windows[i] for y in windows[j])]
+    for i, j in similar:
+        (key, c), (other, _) = found[i], found[j]
+        assert passages.passages_of(texts[i][3], texts[j][3], c[np.isin(key, other)], passages.LEAST_SIMILARITY, True)[0]
+    assert 100 < len(similar) < 1_000
+
+
+def test_long_runs_of_one_word_are_reported(spark):
+    rng = random.Random(13)
+    docs = [(k, " ".join([*sentence(rng, 30).split(), *["z"] * n, *sentence(rng, 30).split()])) for k, n in enumerate((40, 55, 300, 200, 49))]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    covered = {k: {w for r in got if r["doc_id"] == k for w in range(r["start_word"], r["stop_word"])} for k in range(5)}
+    assert {r["group_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+    assert covered[1] >= set(range(30, 85)) and covered[3] >= set(range(30, 230 - 2 * passages.SIDE))
+
+
 @pytest.mark.parametrize("large", [3, 50_000])
 def test_repeated_passages_match_brute_force(spark, large, monkeypatch):
     """Every pair of texts with 50 equal words in a row is in one group, and no text without any is reported."""
