@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from crowdnet.operators import tiles
 from crowdnet.operators.association import vectors
+from crowdnet.scratch import Scratch
 
-#: Rows of experiments that are paired on the driver, and cells of matrices that permutations get.
-MOST_CHIPS, MOST_CELLS = 20_000, 5_000_000
+#: Cells of matrices that permutations get; chips of whole experiments, about, and genes whose fold changes are made in one task.
+MOST_CELLS, CHIPS, GENES = 5_000_000, 4_096, 256
 
 
 def controls(chips: list[dict]) -> list[tuple[int, int, int]]:
@@ -49,7 +50,37 @@ def controls(chips: list[dict]) -> list[tuple[int, int, int]]:
 
 def replicates(expr: DataFrame, chips: DataFrame) -> DataFrame:
     """(condition, gene, value): means over the repeats of each condition; chips has sample and condition."""
-    return expr.join(F.broadcast(chips.select("sample", "condition").limit(MOST_CHIPS)), "sample").groupBy("condition", "gene").agg(F.avg("value").alias("value"))
+    return expr.join(chips.select("sample", "condition"), "sample").groupBy("condition", "gene").agg(F.avg("value").alias("value"))
+
+
+def _fold_changes(weight: float):
+    """(part, gene, v): of a part's tests by their order the sum and squares of a gene's fold changes, its weight and the test's chips."""
+
+    def run(values: pa.Table, chips: pa.Table) -> pa.Table:
+        rows = chips.to_pylist()
+        for r in rows:
+            r["perturbations"], r["time"] = frozenset(r["perturbations"] or ()), float(r["time"] or 0)
+        rows.sort(key=lambda r: (r["experiment"] is not None, r["experiment"], ",".join(sorted(r["perturbations"])), r["time"], r["repeat"], r["sample"]))
+        place = {r["sample"]: k for k, r in enumerate(rows)}
+        genes, of = np.unique(np.array(values.column("gene").to_pylist()), return_inverse=True)
+        x = np.full((len(rows), len(genes)), np.nan)
+        if len(genes):
+            samples, at = np.unique(np.array(values.column("sample").to_pylist()), return_inverse=True)
+            x[np.array([place[s] for s in samples.tolist()])[at], of] = values.column("value").to_numpy()
+        out = []
+        for k, n, c in controls(rows):
+            repeats = 1
+            while c + repeats < len(rows) and rows[c + repeats]["experiment"] == rows[c]["experiment"] and rows[c + repeats]["repeat"] == repeats + 1:
+                repeats += 1
+            d = x[k : k + n] - x[c : c + repeats].mean(axis=0)
+            heavy = set(rows[k]["changed"] or ()) - set(rows[c]["changed"] or ())
+            out.append(np.stack([d.sum(axis=0), (d * d).sum(axis=0), np.where(np.isin(genes, list(heavy)), weight, 1.0), np.full(len(genes), float(n))]))
+        v = np.stack(out).transpose(2, 0, 1).ravel() if out else np.empty(0)
+        at = np.arange(len(genes) + 1, dtype=np.int32) * (4 * len(out))
+        own = pa.array(np.full(len(genes), chips.column("part")[0].as_py() if len(rows) else 0), pa.int32())
+        return pa.table({"part": own, "gene": pa.array(genes.tolist(), values.schema.field("gene").type), "v": pa.ListArray.from_arrays(pa.array(at), pa.array(v))})
+
+    return run
 
 
 def anoverence(expr: DataFrame, chips: DataFrame, weight: float = 1.0) -> DataFrame:
@@ -57,49 +88,33 @@ def anoverence(expr: DataFrame, chips: DataFrame, weight: float = 1.0) -> DataFr
 
     chips(sample, experiment, perturbations array, time, repeat, changed array) describes the samples; changed are genes
     deleted or overexpressed, whose fold changes weigh weight against controls without the change. A missing time is 0.
+    Experiments are dealt over the cluster, as conditions and their controls are in one; an experiment is in one task.
     """
-    if chips.limit(MOST_CHIPS + 1).count() > MOST_CHIPS:
-        raise ValueError(f"more than {MOST_CHIPS} chips")
-    rows = [r.asDict() for r in chips.orderBy("experiment", F.array_join(F.sort_array(F.coalesce("perturbations", F.array().cast("array<string>"))), ","), F.coalesce("time", F.lit(0.0)), "repeat", "sample").collect()]
-    place = {s: k for k, s in enumerate(sorted(r["sample"] for r in rows))}  # vectors are in the order of samples
-    for r in rows:
-        r["perturbations"], r["time"] = frozenset(r["perturbations"] or ()), float(r["time"] or 0)
-    tests = controls(rows)
-    if not tests:
+    n, genes = chips.count(), expr.select("gene").distinct().count()
+    parts, blocks = max(1, -(-n // CHIPS)), max(1, -(-genes // GENES))
+    own = chips.select(F.pmod(F.xxhash64("experiment"), F.lit(parts)).cast("int").alias("part"), "sample", "experiment", "perturbations", F.col("time").cast("double").alias("time"), F.col("repeat").cast("int").alias("repeat"), "changed")
+    scratch = Scratch(expr.sparkSession)
+    own = scratch.cut(own, "chips")
+    block = F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int").alias("block")
+    values = expr.join(own.select("sample", "part"), "sample").select(F.col("part").alias("part"), block, F.col("sample").alias("sample"), F.col("gene").alias("gene"), F.col("value").cast("double").alias("value"))
+    meta = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    gene = dict(expr.dtypes)["gene"]
+    changes = values.groupBy("part", "block").cogroup(meta.groupBy("part", "block")).applyInArrow(_fold_changes(weight), f"part int, gene {gene}, v array<double>")
+    vectors = changes.groupBy("gene").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "v"))), lambda c: c["v"])).alias("v"))
+    vectors = scratch.cut(vectors, "changes")
+    if vectors.filter(F.size("v") > 0).isEmpty():
         raise ValueError("no condition has a control")
-    sizes = np.array([n for _, n, _ in tests], float)
-    members = [[place[rows[k + i]["sample"]] for i in range(n)] for k, n, _ in tests]
-    bases = []
-    for _, _, c in tests:
-        n = 1
-        while c + n < len(rows) and rows[c + n]["experiment"] == rows[c]["experiment"] and rows[c + n]["repeat"] == n + 1:
-            n += 1
-        bases.append([place[rows[c + i]["sample"]] for i in range(n)])
-    heavy = [set(rows[k]["changed"] or ()) - set(rows[c]["changed"] or ()) for k, _, c in tests]
-
-    def changes(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            out = []
-            for gene, x in zip(b.column(0).to_pylist(), tiles.matrix(pa.chunked_array([b.column(1)])), strict=True):
-                f = [x[m] - x[c].mean() for m, c in zip(members, bases, strict=True)]
-                out.append(np.concatenate([[d.sum() for d in f], [(d * d).sum() for d in f], [weight if gene in h else 1.0 for h in heavy]]))
-            at = np.arange(len(out) + 1, dtype=np.int32) * len(out[0])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out)))], names=["gene", "v"])
 
     def between(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        n = len(sizes)
+        sums, squares, p, n = (np.ascontiguousarray(right.reshape(len(right), -1, 4)[:, :, k]) for k in range(4))
         out = np.empty((len(left), len(right)))
-        p = right[:, 2 * n :]
-        for k, own in enumerate(left):
-            sums, squares, w = own[:n] + p * right[:, :n], own[n : 2 * n] + p * right[:, n : 2 * n], sizes * (1 + p)
-            base = sums.sum(axis=1) ** 2 / w.sum(axis=1)
-            out[k] = ((sums * sums / w).sum(axis=1) - base) / (squares.sum(axis=1) - base)
+        for k, own in enumerate(left.reshape(len(left), -1, 4)):
+            s, w = own[:, 0] + p * sums, n * (1 + p)
+            base = s.sum(axis=1) ** 2 / w.sum(axis=1)
+            out[k] = ((s * s / w).sum(axis=1) - base) / ((own[:, 1] + p * squares).sum(axis=1) - base)
         return out
 
-    gene = dict(expr.dtypes)["gene"]
-    return tiles.all_pairs(vectors(expr).mapInArrow(changes, f"gene {gene}, v array<double>"), between, ordered=True)
+    return tiles.all_pairs(vectors, between, ordered=True)
 
 
 # differences between networks

@@ -177,6 +177,29 @@ def test_fold_changes_of_experiments(spark):
     assert abs(means.filter("condition = 'c' AND gene = 2").first()["value"] - x[:2, 2].mean()) < 1e-12
 
 
+def test_fold_changes_of_many_experiments(spark, monkeypatch):
+    """More chips than one table on the driver held, dealt by experiment and by blocks of genes."""
+    monkeypatch.setattr(perturbations, "CHIPS", 3_000)
+    monkeypatch.setattr(perturbations, "GENES", 2)
+    n = 20_010
+    value = lambda s, g: ((s * 7 + g * s * s) % 11).cast("double")
+    samples = spark.range(n).select(F.col("id").alias("sample"))
+    expr = samples.select("sample", F.explode(F.array(*[F.lit(g) for g in range(4)])).alias("gene")).withColumn("value", value(F.col("sample"), F.col("gene")))
+    s = F.col("sample")
+    chips = samples.select("sample", F.floor(s / 3).alias("experiment"), F.when(s % 3 < 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"))).alias("perturbations"), F.lit(0.0).alias("time"), F.when(s % 3 == 1, 2).otherwise(1).alias("repeat"), F.array().cast("array<int>").alias("changed"))
+    got = matrix_of(perturbations.anoverence(expr, chips), 4)
+    k = np.arange(n)
+    x = np.stack([(k * 7 + g * k * k) % 11 for g in range(4)]).reshape(4, -1, 3).astype(float)
+    f = x[:, :, 2] - x[:, :, :2].mean(axis=2)
+    for i in range(4):
+        for j in range(i):
+            both = f[[i, j]]
+            base = both.sum() ** 2 / both.size
+            assert abs(got[i, j] - ((both.sum(axis=0) ** 2 / 2).sum() - base) / ((both**2).sum() - base)) < 1e-9
+    means = perturbations.replicates(expr, samples.select("sample", F.lit("c").alias("condition")))
+    assert abs(means.filter("gene = 1").first()["value"] - x[1].mean()) < 1e-9
+
+
 def test_differential_networks(spark):
     rng = np.random.default_rng(9)
     a, b = rng.normal(size=(60, 5)), rng.normal(size=(60, 5))
