@@ -250,6 +250,25 @@ def test_betweenness_matches_all_paths(spark):
     assert {(r["i"], r["j"]): round(r["betweenness"], 9) for r in links.collect()} == {k: round(v, 9) for k, v in want_edge.items()}
 
 
+@pytest.mark.parametrize("bounds", [{}, {"STEPS": 5}, {"COMPONENT_EDGES": 4}])
+def test_distances_are_summed_by_component(spark, bounds, monkeypatch):
+    from crowdnet.operators.components import components
+
+    for name, value in bounds.items():
+        monkeypatch.setattr(centrality, name, value)
+    edges = [(1, 0, 1.0), (2, 0, 1.5), (3, 1, 1.0), (3, 2, 0.0), (4, 3, 2.0), (4, 2, 0.5), (6, 5, 1.0), (3, 0, 0.4), (7, 4, 3.0), (9, 8, 2.0), (10, 9, 0.25), (10, 8, 9.0)]
+    net = spark.createDataFrame(edges, "i int, j int, score double")
+    d = np.full((11, 11), np.inf)
+    np.fill_diagonal(d, 0)
+    for i, j, w in edges:
+        d[i, j] = d[j, i] = w
+    for k in range(11):
+        d = np.minimum(d, d[:, k, None] + d[k])
+    got = centrality.distance_summary(net, components(net, a="i", b="j")).first()
+    there = d[np.isfinite(d)]
+    assert got["pairs"] == len(there) and abs(got["total"] - there.sum()) < 1e-9 and got["largest"] == there.max()
+
+
 def test_spanning_edges_match_all_trees(spark):
     edges = [(1, 0, 2.0), (2, 0, 1.0), (2, 1, 1.0), (3, 2, 4.0), (3, 1, 0.5), (5, 4, 3.0)]
 
