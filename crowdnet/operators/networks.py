@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crowdnet.operators.query import incident, numbered, symmetric
 from crowdnet.operators.ranking import running
-from crowdnet.scratch import Scratch
+from crowdnet.scratch import Scratch, dealt
 
 
 def strength(net: DataFrame) -> DataFrame:
@@ -30,8 +30,11 @@ def backbone(net: DataFrame, least: float | None = None) -> DataFrame:
     d = d.withColumn("e", F.col("alpha") / (F.col("alpha") + F.col("beta")))
     slope = 2 * (k + w * (1 / (a * b) - t * (a + b) / (a * b * a * b))) / ((k * w + 1) * (k * w + 1))
     sdev = F.sqrt(F.col("e") * (1 - F.col("e")) * t * slope * slope)
-    out = d.select("i", "j", "score", ((k * w - 1) / (k * w + 1)).alias("nc_score"), sdev.alias("nc_sdev"))
-    return out if least is None else out.filter(F.col("nc_score") - F.col("nc_sdev") * least > 0)
+    out = d.select("i", "j", "score", ((k * w - 1) / (k * w + 1)).alias("nc_score"), sdev.alias("nc_sdev"), F.monotonically_increasing_id().alias("_at"))
+    if least is None:
+        return out.drop("_at")
+    # _at keeps the filter above its columns: moved below them it holds them many times over, in a method too large to be compiled
+    return out.filter((F.col("nc_score") - F.col("nc_sdev") * least > 0) & (F.col("_at") >= 0)).drop("_at")
 
 
 def compare(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -191,7 +194,8 @@ def triangle_edges(net: DataFrame) -> DataFrame:
     up = F.struct("di", "i") < F.struct("dj", "j")
     e = e.select(F.when(up, F.col("i")).otherwise(F.col("j")).alias("u"), F.when(up, F.col("j")).otherwise(F.col("i")).alias("v"), "score")
     e = Scratch(net.sparkSession).cut(e, "oriented")  # read three times
-    two = e.select("u", F.col("v").alias("v1"), F.col("score").alias("s1")).join(e.select("u", F.col("v").alias("v2"), F.col("score").alias("s2")), "u").filter("v1 < v2")
+    own = dealt(e, 8 * e.count(), "u")  # a node's edges are combined
+    two = own.select("u", F.col("v").alias("v1"), F.col("score").alias("s1")).join(own.select("u", F.col("v").alias("v2"), F.col("score").alias("s2")), "u").filter("v1 < v2")
     last = e.select(F.least("u", "v").alias("v1"), F.greatest("u", "v").alias("v2"), F.col("score").alias("s3"))
     return two.join(last, ["v1", "v2"]).select(F.col("u").alias("a"), F.col("v1").alias("b"), F.col("v2").alias("c"), "s1", "s2", "s3")
 

@@ -148,3 +148,32 @@ def test_strong_components_match_reachability(spark):
         got = {r["node"]: r["component"] for r in components.strong_components(spark.createDataFrame(edges, "source int, target int")).collect()}
         assert got == want
     assert components.strong_components(spark.createDataFrame([], "source int, target int")).count() == 0
+
+
+def test_pairs_are_dealt_in_bounded_parts(spark, tmp_path, monkeypatch):
+    """No task gets much more than ROWS rows, and the pairs are written once for all that read them."""
+    from crowdnet import scratch
+    from crowdnet.plans import datasets
+
+    rng = random.Random(4)
+    lines = [(o, s, k) for o in range(400) for k, s in enumerate(rng.choices(range(30), k=rng.randrange(1, 6)))]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(scratch, "ROWS", 100)
+    net = datasets.shipped_together(spark, str(tmp_path))
+    want = {}
+    for o in range(400):
+        own = sorted({s for x, s, _ in lines if x == o})
+        for a, i in enumerate(own):
+            for j in own[:a]:
+                want[i, j] = want.get((i, j), 0) + 1
+    assert {(r["i"], r["j"]): r["score"] for r in net.collect()} == want
+    assert len(net.inputFiles()) > 2 * len(lines) // 200 and "Exchange" not in net._jdf.queryExecution().toString()
+
+
+def test_the_backbone_is_filtered_after_its_scores(spark):
+    net = spark.createDataFrame([(1, 0, 5.0), (2, 0, 1.0), (2, 1, 9.0), (3, 1, 2.0)], "i int, j int, score double")
+    scored = {(r["i"], r["j"]) for r in networks.backbone(net).collect() if r["nc_score"] - r["nc_sdev"] * 0.1 > 0}
+    kept = networks.backbone(net, 0.1)
+    assert {(r["i"], r["j"]) for r in kept.collect()} == scored and scored
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and len(line) > 400]
