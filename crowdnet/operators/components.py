@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crowdnet.scratch import Scratch
+from crowdnet.scratch import Scratch, dealt
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _once(edges: DataFrame, n: int) -> DataFrame:
+    """The different ones of about n edges."""
+    return dealt(edges, n, "a", "b").distinct()
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each neighbour above u is linked with the smallest of u and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return _once(both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b"), n)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """u and its neighbours below it are linked with the smallest of these."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     lower = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return lower.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
+    return _once(lower.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b"), n)
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -37,10 +42,10 @@ def components(edges: DataFrame, scratch: Scratch | None = None, a: str = "a", b
     scratch = scratch or Scratch(edges.sparkSession)
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     loops = ends.filter("a = b").select("a").distinct()
-    now = scratch.cut(ends.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = scratch.cut(_once(ends.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ends.count()), "edges")
     mark = _mark(now)
     while mark[0]:
-        after = scratch.cut(_small_star(_large_star(now)), "edges")
+        after = scratch.cut(_small_star(_large_star(now, mark[0]), mark[0]), "edges")
         seen = _mark(after)
         scratch.drop(now)
         now = after
