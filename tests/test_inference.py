@@ -93,6 +93,16 @@ def test_spline_information(spark):
     assert association.percentile(np.arange(1.0, 11.0), 50) == 5.5 and association.percentile(np.arange(1.0, 11.0), 1) == 1.0
 
 
+def test_spline_information_reads_samples_in_parts(spark, monkeypatch):
+    """The same in small parts; blocks of long vectors are small, and no weights are sent between tasks."""
+    expr = table(spark, planted(60, 6))
+    whole = matrix_of(association.spline_mi(expr, 5), 6)
+    monkeypatch.setattr(association, "WEIGHTS", 50)
+    monkeypatch.setattr(tiles, "CELLS", 120)
+    got = association.spline_mi(expr, 5)
+    assert same(matrix_of(got, 6), whole) and "mapInArrow" not in got._jdf.queryExecution().toString()
+
+
 def test_topological_overlap_and_weakest_links(spark):
     r = np.corrcoef(SAMPLE.T)
     cor = association.pearson(table(spark, SAMPLE))
@@ -153,6 +163,35 @@ def test_kernels_of_support_vectors_and_bounds(spark):
     assert np.allclose(slopes[0], 0, atol=1e-9) and (np.diff(lam) < 0).all() and np.abs(x[:, 1:] @ slopes[-1] + c[-1] - x[:, 0]).mean() < 0.3
 
 
+def test_models_read_samples_in_blocks(monkeypatch):
+    """The same weights whatever the blocks, and no copy of all rows and columns."""
+    x = planted(90)
+    kernels = {"genie3": {"models": 5}, "elnet": {"models": 3}, "tigress": {"models": 3}, "llr": {"models": 5}, "svm": {"models": 3}}
+    weigh = lambda: {k: ensembles.KERNELS[k](**o)(x[:, 1:], x[:, 0], np.random.default_rng(3)) for k, o in kernels.items()}
+    whole = weigh()
+    monkeypatch.setattr(ensembles, "BLOCK", 7)
+    monkeypatch.setattr(ensembles, "AT_ONCE", 10)
+    monkeypatch.setattr(ensembles.Part, "take", lambda self: pytest.fail("all samples are copied"))
+    assert all(np.allclose(v, whole[k], atol=1e-9) for k, v in weigh().items())
+
+
+def test_the_support_vector_query_has_all_its_models(spark, monkeypatch):
+    from crowdnet.plans import workloads
+
+    asked = []
+    monkeypatch.setitem(ensembles.KERNELS, "svm", lambda models=1000, **_: asked.append(models) or (lambda x, y, rng: np.zeros(x.shape[1])))
+    workloads.QUERIES["infer_svm"](spark, "/root/testdata/sf0.001")
+    assert asked == [1000]
+
+
+def test_linear_support_vectors_without_a_matrix_of_samples():
+    for seed in range(4):
+        x = planted(80, seed=seed)
+        z, y = x[:, 1:] / x[:, 1:].std(axis=0), x[:, 0] / x[:, 0].std()
+        want = ensembles.svr_coefficients(z @ z.T, y, 1.0, 0.1, rounds=20_000, tolerance=1e-9) @ z
+        assert np.allclose(ensembles.linear_epsilon_svr(z, y), want, atol=2e-3)
+
+
 def test_fold_changes_of_experiments(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(9, 4))
